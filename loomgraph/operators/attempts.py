@@ -27,7 +27,7 @@ def latest_by_key(rows: DataFrame, key: str, order: list[str], keep: list[str])
     """Of the rows of one key only the one that is greatest in `order` (nulls lowest), then in `keep`.
 
     A maximum over a struct, so each map task sends one row per key: a key that holds a third of all rows is reduced
-    before the shuffle. Rows with a null key match nothing and all stay.
+    before the shuffle. Rows with a null key match nothing and all stay. The key comes back, as a string, if it is in `keep`.
     """
     unique = F.when(F.col(key).isNull(), F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string")))
     rest = [c for c in keep if c not in order and c != key]
@@ -35,7 +35,7 @@ def latest_by_key(rows: DataFrame, key: str, order: list[str], keep: list[str])
         rows.select(F.col(key).cast("string").alias("_key"), unique.alias("_own"), F.struct(*[F.col(c) for c in [*order, *rest]]).alias("_row"))
         .groupBy(F.coalesce("_key", "_own").alias("_id"))
         .agg(F.max("_row").alias("_row"))
-        .select(*[F.col(f"_row.{c}").alias(c) for c in keep if c != key])
+        .select(*[F.when(~F.col("_id").startswith("\x00"), F.col("_id")).alias(key)] * (key in keep), *[F.col(f"_row.{c}").alias(c) for c in keep if c != key])
     )
 
 
