@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import canonical, packing, splitting, tokens
+from loomgraph.llm import canonical, packing, similar, splitting, tokens
 from loomgraph.queries.registry import Registry
 from loomgraph.runtime import table
 
@@ -49,3 +49,20 @@ def p4_found(spark, d):
 @R.add("p4_classes")
 def p4_classes(spark, d):
     return canonical.look_alike_classes(canonical.record_forms(*_records(spark, d)))
+
+
+@R.add(
+    "p1_found",
+    """WITH v AS (SELECT chunk_id, max(e) AS e FROM (SELECT chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM kb_chunks
+      WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0) GROUP BY 1)
+    SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id
+    WHERE array_cosine_similarity(CAST(a.e AS DOUBLE[64]), CAST(b.e AS DOUBLE[64])) >= 0.95""",
+)
+def p1_found(spark, d):
+    return similar.found(table(spark, d, "kb_chunks"))
+
+
+@R.add("p1_neighbours")
+def p1_neighbours(spark, d):
+    return similar.neighbours(similar.usable(table(spark, d, "kb_chunks")))
