@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import canonical, packing, similar, splitting, tokens
+from loomgraph.llm import canonical, packing, sentences, similar, splitting, tokens
 from loomgraph.queries.registry import Registry
 from loomgraph.runtime import table
 
@@ -66,3 +66,13 @@ def p1_found(spark, d):
 @R.add("p1_neighbours")
 def p1_neighbours(spark, d):
     return similar.neighbours(similar.usable(table(spark, d, "kb_chunks")))
+
+
+@R.add("p10_found")
+def p10_found(spark, d):
+    return sentences.found(table(spark, d, "documents"))
+
+
+@R.add("p10_sentences")
+def p10_sentences(spark, d):
+    return sentences.sentences(table(spark, d, "documents"), with_text=True)
