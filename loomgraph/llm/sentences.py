@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +21,15 @@ COMMON = {
     "fr": " le , les , des , est , une , dans , pour , du , et , au , d’, l’,ê,è,ç,à, :".split(","),
     "es": " el , los , las , de , que , una , por , y , del ,ñ,í,ó,á,ú,¿,¡".split(","),
 }
-BLANK = re.compile(r"\s*?(?:\r\n|[\n\r  ])[^\S\r\n  ]*(?:\r\n|[\n\r  ])\s*")
+BLANK = re.compile("(?:\r\n|[\n\r\u2028\u2029])[^\\S\r\n\u2028\u2029]*[\n\r\u2028\u2029]\\s*")
 #: The mark of a heading or a list item at the start of a block.
 ITEM = re.compile(r"﻿?(?:#{1,6}\s|[-*•‣●○▪◦+]\s|\(\d{1,3}\)\s|（\d{1,3}）|\d{1,3}[.)]\s|[a-zA-Z]\)\s|[①-⑳])")
 CLOSERS = "\"'”’“»›」』）)\\]】》〉"
-END = re.compile(rf"[.．!?…！？。｡؟।॥]+(?:[{CLOSERS}]+|\s[»›]+)*")
+#: Marks with the closing quotes and brackets after them; a period before a small letter or within a number is none.
+END = re.compile(rf"(?:[.．](?![a-z])(?!(?<=[0-9].)[0-9])|[!?…！？。｡؟।॥])+(?:[{CLOSERS}]+|\s[»›]+)*")
+SHUT = CLOSERS.replace("\\", "") + " \u00a0\u202f\n\r\t"
+#: After such a character the sentence goes on.
+STAY = ",;:，、；：)）]…"
 QUOTES = frozenset("\"'”’“»›」』》〉")
 OPENERS = "([{（【《〈「『\"'“”„«‹‘’¿¡—–- \t\r\n  　"
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,24 +38,25 @@ TOKEN = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*")
 PERIOD = re.compile(r"(?<![\w.])([^\W\d_]+(?:\.[^\W\d_]+)*|\d+)\.(?=\s+([\"“„«‘(¿¡]*)([^\W\d_]+\.?|[^\s»”)]))")
 NEXT = re.compile(r"\s*")
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎”\"')])[^\S\r\n]*(?:\r?\n)?[^\S\r\n]+(?=[ก-๎“\"])|(?<=[ก-ฺเ-๎])\r?\n(?=[ก-๎“\"])")
-KANA = re.compile(r"[ぁ-ヿ]")
-#: Ranges that decide how a text is read, in order of the test.
-SCRIPTS = [("th", re.compile("[ก-๎]")), ("ko", re.compile("[가-힣]")), ("ja", KANA), ("zh", re.compile("[一-鿿]")), ("hi", re.compile("[ऄ-ह]")), ("ar", re.compile("[ء-ي]")), ("ru", re.compile("[А-я]"))]
+#: Blocks of letters that decide how a text is read, in order of the test, with a weight: Japanese has more ideographs
+#: than kana.
+SCRIPTS = [("th", 0xE00, 0xE80, 1), ("ko", 0xAC00, 0xD7C0, 1), ("ja", 0x3040, 0x3100, 6), ("zh", 0x4E00, 0xA000, 1), ("hi", 0x900, 0x980, 1), ("ar", 0x600, 0x700, 1), ("ru", 0x400, 0x500, 1)]
 UNSPACED = {"zh": 2, "ja": 2, "th": 4}
-UNCASED = frozenset(["ar", "hi", "ko"])
+CASED = frozenset([*COMMON, "ru"])
+KINDS = ("word", "period", "goes on", "pair", "number", "start", "unsure")
 
 
 def group_of(text: str) -> str:
     """The language as far as it matters here: by script, and for the Latin script by frequent words. The table's lang
     column may be missing or wrong and isn't used."""
-    best, most = "", len(re.findall("[A-Za-zÀ-ɏ]", text)) / 4
-    for name, pattern in SCRIPTS:
-        n = len(pattern.findall(text))
-        # Japanese has more ideographs than kana, and a few letters of another script don't make a language
-        if name == "ja":
-            n *= 6
-        if n > most:
-            best, most = name, n
+    best = ""
+    if not text.isascii():
+        # letters by blocks of 64 code points
+        n = np.bincount(np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16) >> 6, minlength=1024)
+        most = n[1:9].sum() / 4
+        for name, low, high, times in SCRIPTS:
+            if (m := n[low >> 6 : high >> 6].sum() * times) > most:
+                best, most = name, m
     if best:
         return best
     flat = " " + text.lower().replace("\n", " ") + " "
@@ -59,21 +65,15 @@ def group_of(text: str) -> str:
 
 def blocks(text: str):
     """(start, end) of the stretches between blank lines, without white space around them."""
-    at = 0
-    for m in BLANK.finditer(text):
-        if m.start() > at:
-            yield at, m.start()
+    at, last = NEXT.match(text).end(), len(text.rstrip())
+    for m in BLANK.finditer(text, at, last):
+        e = m.start()
+        while text[e - 1].isspace():
+            e -= 1
+        yield at, e
         at = m.end()
-    if at < len(text):
-        yield at, len(text)
-
-
-def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
-    while s < e and text[s].isspace():
-        s += 1
-    while e > s and text[e - 1].isspace():
-        e -= 1
-    return s, e
+    if at < last:
+        yield at, last
 
 
 def head(text: str, at: int, e: int, width: int) -> str:
@@ -82,47 +82,45 @@ def head(text: str, at: int, e: int, width: int) -> str:
     return "0" if h[:1].isdigit() else h
 
 
-def observe(text: str, group: str, counts: Counter) -> None:
-    """Adds what a text tells: (kind, key) of words, words before a period and what follows there, sure sentence starts,
-    and heads after marks that may or may not end a sentence."""
+ASCII_TOKEN = re.compile(r"[A-Za-zÀ-ɏ]+(?:\.[A-Za-zÀ-ɏ]+)*")
+SURE_WORD = re.compile(r"[!?؟]\s+([^\W\d_]+)")
+SURE_HEAD = re.compile(rf"[。！？]\s*([^\s{CLOSERS}…。！？，；、][^\s])")
+UNSURE_HEAD = re.compile(r"…\s*([^\s…][^\s])")
+THAI_HEAD = re.compile(rf"(?:{THAI_GAP.pattern})(?=(\S{{4}}))")
+
+
+def observe(text: str, group: str, counts: dict[str, Counter]) -> None:
+    """Adds what a text tells to the counts by kind: words, words before a period and what follows there, sure sentence
+    starts, and heads after marks that may or may not end a sentence."""
     width = UNSPACED.get(group)
-    for w in TOKEN.findall(text) if group not in ("zh", "ja", "th", "ko", "hi") else re.findall(r"[A-Za-zÀ-ɏ]+(?:\.[A-Za-zÀ-ɏ]+)*", text):
-        counts["word", w] += 1
-    for m in PERIOD.finditer(text):
-        w, quote, nxt = m.groups()
+    counts["word"].update((TOKEN if group in CASED or group == "ar" else ASCII_TOKEN).findall(text))
+    period, goes, pair = counts["period"], counts["goes on"], counts["pair"]
+    for w, quote, nxt in PERIOD.findall(text):
         if w[0].isdigit():
             if nxt[0].isupper() and not quote:
-                counts["number", nxt.rstrip(".")] += 1
+                counts["number"][nxt.rstrip(".")] += 1
             continue
         w = w.lower()
-        sure = not nxt[0].isalpha() or nxt[0].islower() or (nxt[-1] == "." and len(nxt) == 2)
-        counts["period", w] += 1
-        counts["goes on", w] += sure
-        if not sure:
-            counts["pair", f"{w}\t{nxt.rstrip('.')}"] += 1
+        period[w] += 1
+        if not nxt[0].isalpha() or nxt[0].islower() or (nxt[-1] == "." and len(nxt) == 2):
+            goes[w] += 1
+        else:
+            pair[f"{w}\t{nxt.rstrip('.')}"] += 1
+    start = counts["start"]
     for s, e in blocks(text):
-        s, e = trimmed(text, s, e)
-        if s >= e or ITEM.match(text, s):
+        if ITEM.match(text, s):
             continue
         if width:
-            counts["start", head(text, s, e, width)] += 1
-            if group == "th":
-                for m in THAI_GAP.finditer(text, s, e):
-                    counts["unsure", head(text, m.end(), e, width)] += 1
+            start[head(text, s, e, width)] += 1
         elif m := WORD.search(text, s, min(e, s + 40)):
-            counts["start", m.group()] += 1
-        for m in END.finditer(text, s, e):
-            at = NEXT.match(text, m.end(), e).end()
-            if at >= e:
-                continue
-            mark = m.group()
-            if width:
-                if mark in ("。", "！", "？") and group != "th":
-                    counts["start", head(text, at, e, width)] += 1
-                elif mark[0] == "…":
-                    counts["unsure", head(text, at, e, width)] += 1
-            elif mark in ("!", "?", "؟") and at > m.end() and (n := WORD.match(text, at)):
-                counts["start", n.group()] += 1
+            start[m.group()] += 1
+    if group == "th":
+        counts["unsure"].update(THAI_HEAD.findall(text))
+    elif width:
+        start.update("0" if h[0].isdigit() else h for h in SURE_HEAD.findall(text))
+        counts["unsure"].update("0" if h[0].isdigit() else h for h in UNSURE_HEAD.findall(text))
+    else:
+        start.update(SURE_WORD.findall(text))
 
 
 @dataclass
@@ -162,18 +160,18 @@ def learn(docs: DataFrame) -> dict[str, Model]:
     schema = pa.schema([("g", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        held: dict[str, Counter] = {}
+        held: dict[str, dict[str, Counter]] = {}
 
         def flush():
-            rows = [(g, k, key, n) for g, c in held.items() for (k, key), n in c.items() if n]
+            rows = [(g, k, key, n) for g, kinds in held.items() for k, c in kinds.items() for key, n in c.items()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else None
 
         for b in batches:
             for t in b.column(0).to_pylist():
                 g = group_of(t)
-                observe(t, g, held.setdefault(g, Counter()))
-            if sum(map(len, held.values())) > 250_000 and (out := flush()) is not None:
+                observe(t, g, held.setdefault(g, {k: Counter() for k in KINDS}))
+            if sum(len(c) for kinds in held.values() for c in kinds.values()) > 250_000 and (out := flush()) is not None:
                 yield out
         if (out := flush()) is not None:
             yield out
@@ -233,7 +231,7 @@ def ends(text: str, m: re.Match, e: int, group: str, model: Model) -> bool:
     core = mark.rstrip(CLOSERS.replace("\\", "") + "   \n\r\t»›")
     closed = mark[len(core) :]
     last = core[-1]
-    if c in ",;:，、；：)）]…" or (c in ".．" and not space):
+    if c in STAY or (c in ".．" and not space):
         return False
     before = text[m.start() - 1] if m.start() else " "
     quoted = bool(QUOTES.intersection(closed))
@@ -281,7 +279,7 @@ def ends(text: str, m: re.Match, e: int, group: str, model: Model) -> bool:
             return not (word.isascii() and word.isalpha()) or word.lower() not in model.abbreviations
         n = WORD.match(text, i)
         bare = word.rstrip(CLOSERS)
-        plain = "." not in bare or bare[-1:].isdigit() or bare.lower() in model.abbreviations
+        plain = not re.search(r"[^\W\d_]\.[^\W\d_]", bare) or bare.lower() in model.abbreviations
         return bool(n) and first.isupper() and not before.isupper() and len(word) > 1 and plain and "/" not in word and n.group() in model.starters
     n = WORD.match(text, i)
     starts = bool(n) and n.group() in model.starters
@@ -308,22 +306,24 @@ def split(text: str, group: str, model: Model) -> list[tuple[int, int]]:
     """(start, end) of each sentence."""
     out = []
     for s, e in blocks(text):
-        s, e = trimmed(text, s, e)
-        if s >= e:
-            continue
         if ITEM.match(text, s):
             out.append((s, e))
             continue
-        cuts = [m.end() for m in END.finditer(text, s, e) if ends(text, m, e, group, model)]
         if group == "th":
-            cuts += [m.start() for m in THAI_GAP.finditer(text, s, e) if head(text, m.end(), e, 4) not in model.continuations and not text[m.end()] in "“\""]
-            cuts.sort()
-        at = s
-        for x in [*cuts, e]:
-            a, b = trimmed(text, at, x)
-            if a < b:
-                out.append((a, b))
-            at = x
+            gaps = [(m.start(), m.end()) for m in THAI_GAP.finditer(text, s, e) if head(text, m.end(), e, 4) not in model.continuations and text[m.end()] not in "“\""]
+            marks = [(m.end(), NEXT.match(text, m.end(), e).end()) for m in END.finditer(text, s, e) if ends(text, m, e, group, model)]
+            for end, following in sorted({*gaps, *marks}):
+                if end > s:
+                    out.append((s, end))
+                    s = following
+        else:
+            for m in END.finditer(text, s, e):
+                if ends(text, m, e, group, model):
+                    end = m.end()
+                    out.append((s, end))
+                    s = end if end < e and not text[end].isspace() else NEXT.match(text, end, e).end()
+        if s < e:
+            out.append((s, e))
     return out
 
 
