@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import canonical, packing, sentences, similar, splitting, tokens
+from loomgraph.llm import canonical, noise, packing, sentences, similar, splitting, tokens
 from loomgraph.queries.registry import Registry
 from loomgraph.runtime import table
 
@@ -76,3 +76,13 @@ def p10_found(spark, d):
 @R.add("p10_sentences")
 def p10_sentences(spark, d):
     return sentences.sentences(table(spark, d, "documents"), with_text=True)
+
+
+@R.add("p6_found")
+def p6_found(spark, d):
+    return noise.found(table(spark, d, "page_extracts"))
+
+
+@R.add("p6_paragraphs")
+def p6_paragraphs(spark, d):
+    return noise.book_paragraphs(table(spark, d, "page_extracts"), table(spark, d, "doc_extracts"))

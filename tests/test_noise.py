@@ -1,0 +1,52 @@
+"""Problem 6: furniture, broken words, misread characters, and paragraphs."""
+
+import pytest
+
+from loomgraph.llm import noise
+from loomgraph.runtime import build_session
+
+BODY = "the balance of the account is checked after each chapter of the book\nand the module returns 12 of 80 points on average, the up-to-date value\n第12章的学习目标由矩阵乘法推出，学习目标由矩阵乘法推出"
+PAGES = [("a", 1, f"Mock Exam Primer\nChapter 1: loop\n\n{BODY}\n- 4 -")] + [
+    ("a", n, f"Mock Exam Primer\nIn round {n * 7} all is well.\n{BODY}\n{n}{n}{n}7\n- {n + 3} -") for n in range(2, 12)
+]
+NOISY = (
+    "a",
+    12,
+    "Mock Exam Primer\nthe bolance of the accoiint is 8o points, the mod-\nule returns the up-\nto-date value of \n学刁目标由炬阵乘法推出\nof the chap-\n- l5 -",
+)
+END = ("a", 13, "Mock Exam Primer\nter of the book is checked.\n- 16 -")
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return build_session("tests", 2, 2)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [*PAGES, NOISY, NOISY, END, ("a", 14, None), ("a", 15, " "), (None, 1, "x")]
+    return spark.createDataFrame(rows, "doc_path string, page_no int, text string")
+
+
+def test_lines_of_each_kind(pages):
+    got = {(r.page_no, r.line_no, r.line_kind) for r in noise.found(pages).collect()}
+    assert {x for x in got if x[0] == 12} == {(12, 1, "furniture"), (12, 2, "misread"), (12, 2, "broken_word"), (12, 5, "misread"), (12, 6, "broken_word"), (12, 7, "furniture")}
+    # the heading and the rows of numbers belong to the text
+    assert {x for x in got if x[0] == 1} == {(1, 1, "furniture"), (1, 7, "furniture")}
+    assert {x for x in got if x[0] == 2} == {(2, 1, "furniture"), (2, 7, "furniture")}
+
+
+def test_word_broken_over_a_page(spark):
+    rows = [*PAGES, ("a", 12, "Mock Exam Primer\nthe end of the chap-\n- 15 -"), END]
+    got = {(r.page_no, r.line_no, r.line_kind) for r in noise.found(spark.createDataFrame(rows, "doc_path string, page_no int, text string")).collect()}
+    assert (12, 2, "broken_word") in got
+
+
+def test_paragraphs_of_pages_and_joined_text(spark, pages):
+    joined = "".join(f"\n\n===== PAGE {n} =====\n{t}" for _, n, t in [*PAGES, NOISY, END])
+    docs = spark.createDataFrame([("b", joined), ("c", None)], "doc_path string, text string")
+    got = noise.book_paragraphs(pages, docs).orderBy("para_no").collect()
+    for source in ("page", "doc"):
+        text = "\n".join(r.text for r in got if r.source == source)
+        assert "the balance of the account is 80 points, the module returns the up-to-date value" in text and "of the chapter of the book" in text
+        assert "学习目标由矩阵乘法推出" in text and "Primer" not in text and "- 16 -" not in text and "bolance" not in text
