@@ -105,7 +105,7 @@ def neighbours(vectors: DataFrame, k: int = 10, factor: float = 4.0, width: int
         for b in batches:
             x, low = _matrix(b.column(1), width), b.column(4).to_numpy()
             own = b.column(2).to_numpy().astype(np.int64) * (1 << 32) + b.column(3).to_numpy()
-            rows, leaves = vptree.reached(upper.value, x, np.arccos(np.clip(low, -1, 1)) + np.where(low < -1, np.pi, 0), factor)
+            rows, leaves = vptree.reached(upper.value, x, np.where(low < -1, np.inf, np.arccos(np.clip(low, -1, 1))), factor)
             n = np.array([blocks.get(int(v), 0) for v in leaves])
             rows, leaves = np.repeat(rows, n), np.repeat(leaves, n)
             block = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)

@@ -188,7 +188,8 @@ def search(tree: Tree, points: np.ndarray, x: np.ndarray, best: Best, factor: fl
         a, b = tree.inside[node], tree.outside[node]
         go(a, idx[near])
         go(b, idx[~near])
-        t = np.arccos(np.clip(best.bar[idx], -1.0, 1.0)) / factor
+        # with fewer than k found, nothing is ruled out
+        t = np.where(best.bar[idx] < -1.0, np.inf, np.arccos(np.clip(best.bar[idx], -1.0, 1.0)) / factor)
         go(b, idx[near & (d + t > mu)])
         go(a, idx[~near & (d - t <= mu)])
 

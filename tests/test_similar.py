@@ -1,0 +1,40 @@
+"""Problem 1: lists of the most similar vectors."""
+
+import numpy as np
+
+from loomgraph.llm import vptree
+
+
+def _around(centres, n, noise, seed=7):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(centres, n, 0) + noise * rng.normal(size=(len(centres) * n, centres.shape[1])) / centres.shape[1] ** 0.5
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_no_list_stays_short_while_there_are_vectors():
+    # two far groups, the smaller of fewer than k
+    one = np.eye(64)[:1]
+    x = np.concatenate([_around(one, 60, 0.05), _around(-one, 10, 0.05)])
+    best = vptree.Best(len(x), 20)
+    vptree.search(vptree.build(x, 8), x, x, best, 4.0, own=True)
+    assert (best.who >= 0).all()
+
+
+def test_nothing_is_out_of_reach_without_a_bound():
+    one = np.eye(64)[:1]
+    x = np.concatenate([_around(one, 60, 0.05), _around(-one, 10, 0.05)])
+    tree = vptree.build(x, 8)
+    rows, leaves = vptree.reached(tree, x, np.full(len(x), np.inf), 4.0)
+    assert len(rows) == len(x) * (len(tree.ends) - 1)
+
+
+def test_recall_against_all_pairs():
+    x = _around(np.random.default_rng(1).normal(size=(150, 64)) / 8, 20, 0.6)
+    best = vptree.Best(len(x), 10)
+    vptree.search(vptree.build(x, 512), x, x, best, 4.0, own=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -2)
+    true = np.argsort(-cos, axis=1)[:, :10]
+    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(true, best.who, strict=True)])
+    print("recall at 10:", recall)
+    assert recall >= 0.95
