@@ -23,6 +23,8 @@ GREEK_AS = "ABEZHIKMNOPTYXCocj"
 RADICALS = "⺁⺅⺉⺋⺒⺓⺔⺖⺗⺘⺙⺠⺡⺢⺣⺤⺦⺨⺫⺭⺰⺹⺼⺾⻁⻂⻃⻄⻅⻈⻉⻋⻌⻏⻐⻓⻔⻖⻙⻚⻛⻜⻞⻟⻠⻢⻣⻤⻥⻦⻧⻨⻩⻫⻬⻭⻮⻯⻰⻲"
 RADICALS_AS = "厂亻刂㔾巳幺彑忄㣺扌攵民氵氺灬爫丬犭罒礻纟耂月艹虎衤覀西见讠贝车辶阝钅长门阝韦页风飞食飠饣马骨鬼鱼鸟卤麦黄斉齐歯齿竜龙亀"
 HYPHENS = "‐‑‒⁃﹣－"
+#: Clusters of two characters that become one: half-width kana with a sound mark, full- and half-width Hangul letters.
+CONJOINED = ((range(0xFF66, 0xFF9E), (0xFF9E, 0xFF9F)), (range(0x1100, 0x1113), range(0x1161, 0x1176)), (range(0xFFA1, 0xFFBF), range(0xFFC2, 0xFFDD)))
 LINE_ENDS = "\r\n", "\r", "\x0b", "\x0c", "\x85", " ", " "
 
 
@@ -71,6 +73,8 @@ class Transducer:
                 self.known[c] = to
         self.known |= dict.fromkeys(invisible, "")
         span = lambda cs: "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _runs(sorted(map(ord, cs))))
+        # half-width sound marks, and the vowels and finals of conjoining Hangul, belong to the character before them
+        marks += map(chr, (0xFF9E, 0xFF9F, *range(0x1160, 0x1200), *range(0xD7B0, 0xD7FC), *range(0xFFC2, 0xFFDD)))
         tail = span([*marks, *invisible])
         single = span(c for c in self.known if len(c) == 1)
         self.pattern = re.compile(f"\r\n|[^{tail}\r\n][{tail}]+|[{single}]")
@@ -84,7 +88,8 @@ class Transducer:
 
     def check(self) -> None:
         """No two rules may disagree: a form must map to itself, so the order of rules can't matter."""
-        for s, to in list(self.known.items()):
+        pairs = [chr(a) + chr(b) for rows, cols in CONJOINED for a in rows for b in cols]
+        for s, to in [*self.known.items(), *((s, self.apply(s)) for s in pairs)]:
             again = self.apply(to)
             if again != to:
                 raise ValueError(f"{s!r} becomes {to!r}, and that {again!r}")

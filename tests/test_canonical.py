@@ -1,0 +1,18 @@
+"""Problem 4: one form of texts that look the same."""
+
+import unicodedata
+
+import pytest
+
+from loomgraph.llm.canonical import transducer
+
+
+@pytest.mark.parametrize("plain", ["ガギパポ", "한국어", "가", "é"])
+def test_composed_and_decomposed_forms_are_one(plain):
+    assert transducer().apply(unicodedata.normalize("NFD", plain)) == plain
+
+
+def test_half_width_kana_with_a_sound_mark():
+    apply = transducer().apply
+    assert apply("ｶﾞｷﾞﾊﾟﾎﾟ") == "ガギパポ"
+    assert apply(apply("ｶﾞ")) == apply("ｶﾞ") != apply("ｶ")
