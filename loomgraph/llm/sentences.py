@@ -112,7 +112,7 @@ def observe(text: str, group: str, counts: dict[str, Counter]) -> None:
             continue
         if width:
             start[head(text, s, e, width)] += 1
-        elif m := WORD.search(text, s, min(e, s + 40)):
+        elif m := WORD.search(text, s, e):
             start[m.group()] += 1
     if group == "th":
         counts["unsure"].update(THAI_HEAD.findall(text))

@@ -1,0 +1,18 @@
+"""Problem 10: what is learnt for sentence boundaries."""
+
+from collections import Counter
+
+import pytest
+
+from loomgraph.llm import sentences
+
+
+def observed(text, group):
+    counts = {k: Counter() for k in sentences.KINDS}
+    sentences.observe(text, group, counts)
+    return counts
+
+
+@pytest.mark.parametrize("before", ["1234567890 " * 4, "(" * 45, "1234567890 " * 3 + "12345 "])
+def test_a_starter_after_a_long_opening_is_whole(before):
+    assert observed(before + "Wonderful things.", "en")["start"] == {"Wonderful": 1}
