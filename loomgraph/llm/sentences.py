@@ -93,13 +93,17 @@ def observe(text: str, group: str, counts: dict[str, Counter]) -> None:
     """Adds what a text tells to the counts by kind: words, words before a period and what follows there, sure sentence
     starts, and heads after marks that may or may not end a sentence."""
     width = UNSPACED.get(group)
-    counts["word"].update((TOKEN if group in CASED or group == "ar" else ASCII_TOKEN).findall(text))
+    # words of the group's own script; where no space parts them, only Latin words are counted, before periods too
+    own = group not in UNSPACED
+    counts["word"].update((TOKEN if own else ASCII_TOKEN).findall(text))
     period, goes, pair = counts["period"], counts["goes on"], counts["pair"]
     for w, quote, nxt in PERIOD.findall(text):
         if w[0].isdigit():
             if nxt[0].isupper() and not quote:
                 counts["number"][nxt.rstrip(".")] += 1
             continue
+        if not own and not ASCII_TOKEN.fullmatch(w):
+            continue
         w = w.lower()
         period[w] += 1
         if not nxt[0].isalpha() or nxt[0].islower() or (nxt[-1] == "." and len(nxt) == 2):
@@ -191,7 +195,8 @@ def learn(docs: DataFrame) -> dict[str, Model]:
     # abbreviations: the period's affinity, and that the sentence goes on
     low = word.groupBy("g", F.lower("key").alias("key")).agg(F.sum("n").alias("all"))
     pairs = of("pair").select("g", F.split("key", "\t")[0].alias("key"), F.split("key", "\t")[1].alias("next"), "n")
-    odd = pairs.join(starters.withColumnRenamed("key", "next"), ["g", "next"], "left_anti").groupBy("g", "key").agg(F.sum("n").alias("odd"))
+    # in these languages too few starts are sure to tell that a word never starts a sentence
+    odd = pairs.where(~F.col("g").isin("ko", "hi", "th")).join(starters.withColumnRenamed("key", "next"), ["g", "next"], "left_anti").groupBy("g", "key").agg(F.sum("n").alias("odd"))
     a = of("period").withColumnRenamed("n", "k").join(low, ["g", "key"]).join(of("goes on").withColumnRenamed("n", "on"), ["g", "key"], "left").join(odd, ["g", "key"], "left")
     a = a.join(totals.select("g", F.col("period").alias("ps"), F.col("word").alias("ws")), "g")
     every = F.greatest("all", "k")

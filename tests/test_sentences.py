@@ -16,3 +16,24 @@ def observed(text, group):
 @pytest.mark.parametrize("before", ["1234567890 " * 4, "(" * 45, "1234567890 " * 3 + "12345 "])
 def test_a_starter_after_a_long_opening_is_whole(before):
     assert observed(before + "Wonderful things.", "en")["start"] == {"Wonderful": 1}
+
+
+@pytest.fixture(scope="module")
+def spark():
+    from loomgraph.runtime import build_session
+
+    return build_session("tests", 2, 2)
+
+
+def learnt(spark, texts):
+    return sentences.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+
+
+def test_korean_abbreviations_are_learnt(spark):
+    said = ["학생은 책을 {n}권 읽었습니다.", "선생님은 수업을 {n}번 준비했습니다.", "이 표는 값을 {n}개 보여 줍니다."]
+    texts = [" ".join(s.format(n=n) for s in said) + f" 결과는 약. {n}점이고 앞의 값은 vs. {n}점입니다." for n in range(60)]
+    model = learnt(spark, texts)["ko"]
+    assert {"약", "vs"} <= model.abbreviations
+    assert "읽었습니다" not in model.abbreviations
+    text = "결과는 약. 7점입니다. 학생은 책을 읽었습니다."
+    assert [text[a:b] for a, b in sentences.split(text, "ko", model)] == ["결과는 약. 7점입니다.", "학생은 책을 읽었습니다."]
