@@ -3,7 +3,6 @@
 import pytest
 
 from loomgraph.llm import noise
-from loomgraph.runtime import build_session
 
 BODY = "the balance of the account is checked after each chapter of the book\nand the module returns 12 of 80 points on average, the up-to-date value\n第12章的学习目标由矩阵乘法推出，学习目标由矩阵乘法推出"
 PAGES = [("a", 1, f"Mock Exam Primer\nChapter 1: loop\n\n{BODY}\n- 4 -")] + [
@@ -17,11 +16,6 @@ NOISY = (
 END = ("a", 13, "Mock Exam Primer\nter of the book is checked.\n- 16 -")
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return build_session("tests", 2, 2)
-
-
 @pytest.fixture(scope="module")
 def pages(spark):
     rows = [*PAGES, NOISY, NOISY, END, ("a", 14, None), ("a", 15, " "), (None, 1, "x")]
@@ -45,8 +39,35 @@ def test_word_broken_over_a_page(spark):
 def test_paragraphs_of_pages_and_joined_text(spark, pages):
     joined = "".join(f"\n\n===== PAGE {n} =====\n{t}" for _, n, t in [*PAGES, NOISY, END])
     docs = spark.createDataFrame([("b", joined), ("c", None)], "doc_path string, text string")
-    got = noise.book_paragraphs(pages, docs).orderBy("para_no").collect()
+    got = noise.book_paragraphs(pages, docs).orderBy("page_no", "para_no").collect()
     for source in ("page", "doc"):
         text = "\n".join(r.text for r in got if r.source == source)
         assert "the balance of the account is 80 points, the module returns the up-to-date value" in text and "of the chapter of the book" in text
         assert "学习目标由矩阵乘法推出" in text and "Primer" not in text and "- 16 -" not in text and "bolance" not in text
+
+
+def test_many_rows_of_what_was_learnt_are_joined_and_not_sent(pages):
+    sent = sorted(map(tuple, noise.found(pages).collect()))
+    assert sent and sorted(map(tuple, noise.found(pages, sent=0).collect())) == sent
+
+
+def test_paragraph_over_the_end_of_a_stretch(spark):
+    rows = [("a", n, f"In round {n} all of the lines go on and\non until the next page of the very same book comes and") for n in range(58, 70)]
+    got = noise.book_paragraphs(spark.createDataFrame(rows, "doc_path string, page_no int, text string"), spark.createDataFrame([], "doc_path string, text string")).collect()
+    assert len(got) == 1 and got[0].page_no == 58 and all(f"In round {n} all" in got[0].text for n in range(58, 70))
+
+
+def test_confusions_of_ideographs_are_learnt(spark):
+    runs = [("案例先完成", 40), ("练习已完成", 40), ("全部完成了", 40), ("案例先兄成", 1), ("练习已兄成", 1), ("全部兄成了", 1)]
+    n = {}
+    for text, k in runs:
+        for i in range(3):
+            n[text[i : i + 3]] = n.get(text[i : i + 3], 0) + k
+    pairs = noise.twins(spark.createDataFrame(list(n.items()), "key string, n bigint"))
+    assert "完" in pairs["兄"] and "兄" not in pairs.get("完", ())
+
+
+def test_empty_tables(spark):
+    pages = spark.createDataFrame([], "doc_path string, page_no int, text string")
+    assert noise.found(pages).count() == 0
+    assert noise.book_paragraphs(pages, spark.createDataFrame([], "doc_path string, text string")).count() == 0

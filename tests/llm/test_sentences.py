@@ -20,8 +20,7 @@ def test_a_starter_after_a_long_opening_is_whole(before):
 
 @pytest.fixture(scope="module")
 def spark():
-    from loomgraph.runtime import build_session
-
+    
     return build_session("tests", 2, 2)
 
 
