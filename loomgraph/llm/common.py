@@ -1,26 +1,11 @@
-"""What the operators of this folder share: Arrow batches in, Arrow batches out, and an even spread of few large files."""
+"""What the operators of this folder share."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over at least two partitions per core, by key, if its files give fewer. Large inputs stay as they are."""
-    want = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
-
-
-def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, object]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """f over the batches of df as columns of Python values; f returns columns of any (common) length."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                out = f({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)})
-                yield pa.RecordBatch.from_arrays([out[x.name] if isinstance(out[x.name], pa.Array) else pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+    """df over two partitions per core, by key, if its files give fewer than one per core. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
