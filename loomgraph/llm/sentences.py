@@ -27,22 +27,28 @@ ITEM = re.compile(r"﻿?(?:#{1,6}\s|[-*•‣●○▪◦+]\s|\(\d{1,3}\)\s|（\
 CLOSERS = "\"'”’“»›」』）)\\]】》〉"
 #: Marks with the closing quotes and brackets after them; a period before a small letter or within a number is none.
 END = re.compile(rf"(?:[.．](?![a-z])(?!(?<=[0-9].)[0-9])|[!?…！？。｡؟।॥])+(?:[{CLOSERS}]+|\s[»›]+)*")
-SHUT = CLOSERS.replace("\\", "") + " \u00a0\u202f\n\r\t"
 #: After such a character the sentence goes on.
 STAY = ",;:，、；：)）]…"
 QUOTES = frozenset("\"'”’“»›」』》〉")
 OPENERS = "([{（【《〈「『\"'“”„«‹‘’¿¡—–- \t\r\n  　"
-WORD = re.compile(r"[^\W\d_]+")
+#: A letter of a word; the vowel signs of Devanagari, Arabic and Thai belong to it.
+L = r"(?:[^\W\d_]|[\u0900-\u0963\u0971-\u097f\u064b-\u065f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])"
+WORD = re.compile(f"{L}+")
 #: Letters, with periods inside; the period after it, and what comes next.
-TOKEN = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*")
-PERIOD = re.compile(r"(?<![\w.])([^\W\d_]+(?:\.[^\W\d_]+)*|\d+)\.(?=\s+([\"“„«‘(¿¡]*)([^\W\d_]+\.?|[^\s»”)]))")
+TOKEN = re.compile(rf"{L}+(?:\.{L}+)*")
+PERIOD = re.compile(rf"(?<![\w.])({L}+(?:\.{L}+)*|\d+)\.(?=\s+([\"“„«‘(¿¡]*)({L}+\.?|[^\s»”)]))")
+TAIL = re.compile(rf"(?:{L}|[\w.])*$")
 NEXT = re.compile(r"\s*")
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎”\"')])[^\S\r\n]*(?:\r?\n)?[^\S\r\n]+(?=[ก-๎“\"])|(?<=[ก-ฺเ-๎])\r?\n(?=[ก-๎“\"])")
 #: Blocks of letters that decide how a text is read, in order of the test, with a weight: Japanese has more ideographs
 #: than kana.
 SCRIPTS = [("th", 0xE00, 0xE80, 1), ("ko", 0xAC00, 0xD7C0, 1), ("ja", 0x3040, 0x3100, 6), ("zh", 0x4E00, 0xA000, 1), ("hi", 0x900, 0x980, 1), ("ar", 0x600, 0x700, 1), ("ru", 0x400, 0x500, 1)]
 UNSPACED = {"zh": 2, "ja": 2, "th": 4}
-CASED = frozenset([*COMMON, "ru"])
+#: Where words have no capitals and sentences a mark of their own: a period's affinity alone makes an abbreviation.
+UNCASED = ("hi",)
+#: A key is kept if it is at least this share of its kind's count, so a language has at most 1 / SHARE keys of a kind,
+#: whatever the size of the corpus.
+SHARE = 2e-6
 KINDS = ("word", "period", "goes on", "pair", "number", "start", "unsure")
 
 
@@ -134,6 +140,7 @@ class Model:
     abbreviations: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
     ordinals: set[str] = field(default_factory=set)
+    collocations: set[str] = field(default_factory=set)
     continuations: set[str] = field(default_factory=set)
 
 
@@ -152,13 +159,15 @@ def learn(docs: DataFrame) -> dict[str, Model]:
 
     Each task adds up its counts and sends them as rows (group, kind, key, n), at most once per key and quarter of a
     million keys; all scores are worked out on the aggregated table. What comes to the driver are the words that pass:
-    abbreviations, starters, ordinals' nouns, continuations; their number follows the vocabularies, not the texts.
+    abbreviations, starters, collocations, ordinals' nouns, continuations; each must hold a share of SHARE of its kind's
+    count, which bounds their number whatever the size of the corpus.
 
     An abbreviation is a word whose affinity to the period (log-likelihood ratio, discounted by the word's length and by
     its occurrences without a period, raised by periods inside) is at least 0.3, and after whose period the sentence
     goes on (a small letter, a digit, a single letter, or a capital that never starts a sentence) in at least 15 % of
     cases. A starter begins sentences at sure places in at least 5 % of its capitalised occurrences and more often than
-    chance. An ordinal's noun follows numbers with a period far more often than it starts a sentence. A continuation is
+    chance. A collocation is a word with its period and the word after it that stand together far more often than the
+    second starts sentences (log-likelihood ratio); it overrules that the second is a starter. An ordinal's noun follows numbers with a period far more often than it starts a sentence. A continuation is
     a head that follows unsure marks far more often than it starts a sentence.
     """
     schema = pa.schema([("g", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("n", pa.int64())])
@@ -184,19 +193,22 @@ def learn(docs: DataFrame) -> dict[str, Model]:
     c = stash(texts.mapInArrow(run, "g string, kind string, key string, n bigint").groupBy("g", "kind", "key").agg(F.sum("n").cast("double").alias("n")), "counts")
     of = lambda kind: c.where(F.col("kind") == kind).select("g", "key", "n")
     word, start = of("word"), of("start")
-    totals = c.groupBy("g").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0)).alias(k) for k in ("word", "period", "start", "unsure", "number")])
+    totals = c.groupBy("g").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0.0)).alias(k) for k in ("word", "period", "pair", "start", "unsure", "number")])
     totals = F.broadcast(totals)  # a row per group
+    enough = lambda n, of_all: n >= SHARE * of_all
     # starters: against all occurrences of the word as it is written
     s = start.withColumnRenamed("n", "k").join(word, ["g", "key"], "left").join(totals.select("g", F.col("start").alias("ks"), F.col("word").alias("ws")), "g")
     n = F.greatest(F.coalesce("n", F.lit(0.0)), F.col("k"))
     p = F.col("ks") / F.greatest("ws", "ks")
     strong = (F.col("k") / n >= 0.05) & (F.col("k") / n >= p) & (log_likelihood(F.col("k"), n, p) >= 7.88)
+    s = s.where(enough(F.col("k"), F.col("ks")))
     starters = stash(s.where(strong | (F.col("n").isNull() & (F.col("k") >= 2))).select("g", "key"), "starters")
     # abbreviations: the period's affinity, and that the sentence goes on
     low = word.groupBy("g", F.lower("key").alias("key")).agg(F.sum("n").alias("all"))
     pairs = of("pair").select("g", F.split("key", "\t")[0].alias("key"), F.split("key", "\t")[1].alias("next"), "n")
     # in these languages too few starts are sure to tell that a word never starts a sentence
-    odd = pairs.where(~F.col("g").isin("ko", "hi", "th")).join(starters.withColumnRenamed("key", "next"), ["g", "next"], "left_anti").groupBy("g", "key").agg(F.sum("n").alias("odd"))
+    cased = ~F.col("g").isin("ko", "hi", "th")
+    odd = pairs.where(cased).join(starters.withColumnRenamed("key", "next"), ["g", "next"], "left_anti").groupBy("g", "key").agg(F.sum("n").alias("odd"))
     a = of("period").withColumnRenamed("n", "k").join(low, ["g", "key"]).join(of("goes on").withColumnRenamed("n", "on"), ["g", "key"], "left").join(odd, ["g", "key"], "left")
     a = a.join(totals.select("g", F.col("period").alias("ps"), F.col("word").alias("ws")), "g")
     every = F.greatest("all", "k")
@@ -205,15 +217,25 @@ def learn(docs: DataFrame) -> dict[str, Model]:
     score = log_likelihood(F.col("k"), every, F.least(F.col("ps") / F.col("ws"), F.lit(0.99))) * F.exp(-size.cast("double")) * (dots + 1) * F.pow(size.cast("double"), -(every - F.col("k")))
     goes = (F.coalesce("on", F.lit(0.0)) + F.coalesce("odd", F.lit(0.0))) / F.col("k")
     rare = F.col("k") / every > F.col("ps") / F.col("ws")
+    goes = F.when(F.col("g").isin(*UNCASED), F.lit(1.0)).otherwise(goes)
+    a = a.where(enough(F.col("k"), F.col("ps")))
     abbreviations = a.where(rare & (((score >= 0.3) & (goes >= 0.15)) | ((goes >= 0.4) & (F.col("k") >= 3) & (F.col("k") / every >= 0.5)))).select("g", "key")
+    # collocations: how often `next` follows the word and its period, against how often it starts a sentence
+    after = pairs.groupBy("g", "key").agg(F.sum("n").alias("m"))
+    both = pairs.where(cased & (F.col("n") >= 3)).join(after, ["g", "key"]).join(start.select("g", F.col("key").alias("next"), F.col("n").alias("starts")), ["g", "next"], "left")
+    both = both.join(totals.select("g", F.col("start").alias("ks"), F.col("pair").alias("all")), "g").where(enough(F.col("n"), F.col("all")))
+    p2 = F.greatest(F.coalesce("starts", F.lit(0.0)), F.lit(0.5)) / F.greatest("ks", F.lit(1.0))
+    collocations = both.where((F.col("n") / F.col("m") >= 5 * p2) & (log_likelihood(F.col("n"), F.col("m"), F.least(p2, F.lit(0.99))) >= 10.83))
+    collocations = collocations.select("g", F.concat("key", F.lit("\t"), "next").alias("key"))
     against = lambda kind: (
         of(kind).withColumnRenamed("n", "k").join(start, ["g", "key"], "left").join(totals.select("g", F.col(kind).alias("us"), F.col("start").alias("ks")), "g")
         .withColumn("n", F.coalesce("n", F.lit(0.0))).withColumn("p", (F.col("k") + F.col("n")) / (F.col("us") + F.col("ks")))
+        .where(enough(F.col("k"), F.col("us")))
         .where((F.col("ks") > 0) & (F.col("n") / F.col("ks") < 0.1 * F.col("k") / F.col("us")))
         .where(log_likelihood(F.col("k"), F.col("us"), F.col("p")) + log_likelihood(F.col("n"), F.col("ks"), F.col("p")) >= 10.83).select("g", "key")
     )
     found = None
-    for kind, df in (("abbreviations", abbreviations), ("starters", starters), ("ordinals", against("number")), ("continuations", against("unsure"))):
+    for kind, df in (("abbreviations", abbreviations), ("starters", starters), ("collocations", collocations), ("ordinals", against("number")), ("continuations", against("unsure"))):
         df = df.select("g", F.lit(kind).alias("kind"), "key")
         found = df if found is None else found.unionByName(df)
     models: dict[str, Model] = {}
@@ -297,13 +319,16 @@ def ends(text: str, m: re.Match, e: int, group: str, model: Model) -> bool:
     if unspaced:
         word = re.split(r"[^A-Za-zÀ-ɏ.]", word)[-1] or word
     low = word.lower()
-    if group == "hi":
-        return False
-    tail = re.split(r"[^\w.]", low)[-1].lstrip(".")
+    tail = TAIL.search(low).group().lstrip(".")
     if len(tail) == 1 and tail.isalpha():
         return False
+    if group in UNCASED and sum(x.isalpha() for x in tail) == 1:
+        # one letter with its vowel sign may be a word of its own; after an abbreviation it is an initial
+        title = re.search(rf"({L}+)\.\s+$", text[max(0, j - 40) : j])
+        if title and title.group(1) in model.abbreviations:
+            return False
     if "." in tail.strip(".") and tail.replace(".", "").isalpha() or low in model.abbreviations or tail in model.abbreviations:
-        return starts and not (n.end() < e and text[n.end()] == "." and len(n.group()) == 1)
+        return starts and f"{low}\t{n.group()}" not in model.collocations and not (n.end() < e and text[n.end()] == "." and len(n.group()) == 1)
     return True
 
 

@@ -18,12 +18,6 @@ def test_a_starter_after_a_long_opening_is_whole(before):
     assert observed(before + "Wonderful things.", "en")["start"] == {"Wonderful": 1}
 
 
-@pytest.fixture(scope="module")
-def spark():
-    
-    return build_session("tests", 2, 2)
-
-
 def learnt(spark, texts):
     return sentences.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
 
@@ -36,3 +30,30 @@ def test_korean_abbreviations_are_learnt(spark):
     assert "읽었습니다" not in model.abbreviations
     text = "결과는 약. 7점입니다. 학생은 책을 읽었습니다."
     assert [text[a:b] for a, b in sentences.split(text, "ko", model)] == ["결과는 약. 7점입니다.", "학생은 책을 읽었습니다."]
+
+
+def test_hindi_periods_are_learnt(spark):
+    said = ["उसने किताब {n} बार पढ़ी।", "डॉ. शर्मा ने उत्तर {n} बार जाँचा।", "यह पुस्तक अच्छी है।"]
+    model = learnt(spark, [" ".join(s.format(n=n) for s in said) for n in range(80)])["hi"]
+    assert "डॉ" in model.abbreviations and "है" not in model.abbreviations
+    text = "यह पुस्तक अच्छी है. डॉ. के. शर्मा ने उत्तर जाँचा."
+    assert [text[a:b] for a, b in sentences.split(text, "hi", model)] == ["यह पुस्तक अच्छी है.", "डॉ. के. शर्मा ने उत्तर जाँचा."]
+
+
+def test_a_collocation_overrules_a_starter():
+    model = sentences.Model(abbreviations={"prof"}, starters={"Grant", "Then"}, collocations={"prof\tGrant"})
+    text = "We ask Prof. Grant. See Prof. Then stop."
+    assert [text[a:b] for a, b in sentences.split(text, "en", model)] == ["We ask Prof. Grant.", "See Prof.", "Then stop."]
+
+
+def test_collocations_are_learnt(spark):
+    texts = [f"Then it rains! Grant waits! We ask Prof. Grant {n} times, e.g. in round {n}." for n in range(60)] + [f"Now it is {n}! Later we rest! Then we go!" for n in range(300)]
+    assert "prof\tGrant" in learnt(spark, texts)["en"].collocations
+
+
+def test_special_cases_and_extra_columns(spark):
+    rows = [(1, "One two. Three four.", 5), (1, "One two. Three four.", 5), (2, None, 5), (3, "", 5), (4, " \n ", 5), (None, "Alone.", 5), (5, "word " * 30_000, 5), (6, "\ufeffHead\n\n1. item one. two", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, start_pos int")
+    got = sorted(((r.doc_id or 0, r.start_pos, r.end_pos) for r in sentences.sentences(df, models={}).collect()))
+    assert got == [(0, 0, 6), (1, 0, 8), (1, 0, 8), (1, 9, 20), (1, 9, 20), (5, 0, 149_999), (6, 0, 5), (6, 7, 23)]
+    assert sentences.found(df.limit(0)).count() == 0
