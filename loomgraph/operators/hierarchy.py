@@ -26,34 +26,42 @@ def parent_pointers(nodes: DataFrame, edges: DataFrame, edge_type: str = "prereq
     return n.join(e, ["pack_id", "kp_id"], "left")
 
 
-def _doubled(walk: DataFrame, name: str) -> DataFrame:
-    """One round: walkers that aren't at a stop jump as far as the walker at their place has come. path has the nodes
-    passed, the walker's own first, without the place it has reached."""
-    ahead = walk.select("pack_id", F.col("kp_id").alias("at"), F.col("at").alias("at2"), F.col("path").alias("path2"), F.col("done").alias("done2"))
-    still = walk.where("not done").join(ahead, ["pack_id", "at"], "left")
-    moved = still.select("pack_id", "kp_id", F.col("at2").alias("at"), F.concat("path", "path2").alias("path"), F.col("done2").alias("done"))
-    return stash(walk.where("done").select("pack_id", "kp_id", "at", "path", "done").unionByName(moved), name)
-
+def several_parents(nodes: DataFrame, edges: DataFrame, edge_type: str = "prerequisite") -> DataFrame:
+    """(pack_id, kp_id, n_parents): the nodes with more than one parent, of which parent_pointers takes the first."""
+    n = nodes.select("pack_id", "kp_id").where("pack_id is not null and kp_id is not null").distinct()
+    e = (
+        edges.where(folded(F.col("edge_type")) == edge_type).select("pack_id", F.col("from_kp").alias("parent"), F.col("to_kp").alias("kp_id"))
+        .where("parent <> kp_id").distinct().join(n.withColumnRenamed("kp_id", "parent"), ["pack_id", "parent"], "left_semi").join(n, ["pack_id", "kp_id"], "left_semi")
+    )
+    return e.groupBy("pack_id", "kp_id").agg(F.count(F.lit(1)).alias("n_parents")).where("n_parents > 1")
 
-def _rest(walk: DataFrame) -> int:
-    return walk.where("not done").count()
 
+def _run(walk: DataFrame, name: str, paths: bool) -> DataFrame:
+    """The walkers (pack_id, kp_id, at, steps[, path], done) that reach a stop, by doubling: those that aren't at one jump
+    as far as the walker at their place has come. path has the nodes passed, the walker's own first, without the place it
+    has reached. A round writes only the walkers that still were on their way, in two parts.
 
-def _run(walk: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Doubles until a round brings no walker to its stop. A walker that is 2^r or more steps from its stop has one on
-    its way at more than 2^(r-1) steps, so after such a round all that are left walk for ever."""
-    left = _rest(walk)
+    It doubles until a round brings no walker to its stop. A walker that is 2^r or more steps from its stop has one on its
+    way at more than 2^(r-1) steps, so after such a round all that are left walk for ever."""
+    cols = ["pack_id", "kp_id", "at", "steps"] + ["path"] * paths
+    walk = stash(walk, name)
+    arrived, still = walk.where("done").select(*cols), walk.where("not done").select(*cols)
+    left = still.count()
     while left:
-        walk = _doubled(walk, name)
-        left, before = _rest(walk), left
+        ahead = arrived.withColumn("done", F.lit(True)).unionByName(still.withColumn("done", F.lit(False)))
+        ahead = ahead.select("pack_id", F.col("kp_id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("more"), *[F.col("path").alias("path2")] * paths, "done")
+        moved = still.join(ahead, ["pack_id", "at"])
+        moved = stash(moved.select("pack_id", "kp_id", F.col("at2").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), *[F.concat("path", "path2").alias("path")] * paths, "done"), name)
+        arrived, still = arrived.unionByName(moved.where("done").select(*cols)), moved.where("not done").select(*cols)
+        left, before = still.count(), left
         if left == before:
             break
-    return walk, left
+    return arrived
 
 
-def hierarchy(parents: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(pack_id, kp_id, root_kp, depth, path): path runs from the root to the node. A node on a cycle or below one has
-    root_kp '', depth -1 and a null path.
+def hierarchy(parents: DataFrame, split: int = SPLIT, paths: bool = True) -> DataFrame:
+    """(pack_id, kp_id, root_kp, depth[, path]): path runs from the root to the node. A node on a cycle or below one has
+    root_kp '', depth -1 and a null path. Without `paths` only steps are counted, so a chain of n costs n cells, not n².
 
     Splitters are all roots and the nodes whose hash falls into one of `split` classes. First every node walks to the
     next splitter above it, keeping the nodes it passes (expected `split` steps); then the splitters alone, a graph
@@ -67,29 +75,27 @@ def hierarchy(parents: DataFrame, split: int = SPLIT) -> DataFrame:
     p = parents.withColumn("stop", F.col("parent").isNull() | (F.pmod(F.xxhash64(F.lit(SEED), "pack_id", "kp_id"), F.lit(split)) == 0))
     p = stash(p, "parents")
     stops = p.where("stop").select("pack_id", F.col("kp_id").alias("parent"), F.lit(True).alias("s"))
+    none = F.array().cast("array<string>")
     first = (
         p.where("parent is not null").join(stops, ["pack_id", "parent"], "left")
-        .select("pack_id", "kp_id", F.col("parent").alias("at"), F.array("kp_id").alias("path"), F.coalesce("s", F.lit(False)).alias("done"))
+        .select("pack_id", "kp_id", F.col("parent").alias("at"), F.lit(1).alias("steps"), *[F.array("kp_id").alias("path")] * paths, F.coalesce("s", F.lit(False)).alias("done"))
     )
-    walk, _ = _run(stash(first, "walk"), "walk")
+    walk = _run(first, "walk", paths)
     # the graph of splitters: each points to the next splitter above, over the steps of its walk
     roots = p.where("parent is null").select("pack_id", F.col("kp_id").alias("at"), F.lit(True).alias("r"))
     reduced = (
-        walk.where("done").join(p.where("stop").select("pack_id", "kp_id"), ["pack_id", "kp_id"], "left_semi")
-        .join(roots, ["pack_id", "at"], "left").select("pack_id", "kp_id", "at", "path", F.coalesce("r", F.lit(False)).alias("done"))
-    )
-    solved, _ = _run(stash(reduced, "reduced"), "reduced")
-    top = solved.where("done").select("pack_id", F.col("kp_id").alias("at"), F.col("at").alias("root_kp"), F.col("path").alias("up"))
-    own = roots.select("pack_id", "at", F.col("at").alias("root_kp"), F.array().cast("array<string>").alias("up"))
-    tops = top.unionByName(own)
-    steps = walk.where("done").select("pack_id", "kp_id", "at", "path").unionByName(
-        p.where("parent is null").select("pack_id", "kp_id", F.col("kp_id").alias("at"), F.array().cast("array<string>").alias("path"))
+        walk.join(p.where("stop").select("pack_id", "kp_id"), ["pack_id", "kp_id"], "left_semi")
+        .join(roots, ["pack_id", "at"], "left").select("pack_id", "kp_id", "at", "steps", *["path"] * paths, F.coalesce("r", F.lit(False)).alias("done"))
     )
-    whole = steps.join(tops, ["pack_id", "at"]).select(
-        "pack_id", "kp_id", "root_kp", F.concat(F.array("root_kp"), F.reverse(F.concat("path", "up"))).alias("path")
+    solved = _run(reduced, "reduced", paths)
+    top = solved.select("pack_id", F.col("kp_id").alias("at"), F.col("at").alias("root_kp"), F.col("steps").alias("up_steps"), *[F.col("path").alias("up")] * paths)
+    own = roots.select("pack_id", "at", F.col("at").alias("root_kp"), F.lit(0).alias("up_steps"), *[none.alias("up")] * paths)
+    steps = walk.unionByName(p.where("parent is null").select("pack_id", "kp_id", F.col("kp_id").alias("at"), F.lit(0).alias("steps"), *[none.alias("path")] * paths))
+    whole = steps.join(top.unionByName(own), ["pack_id", "at"]).select(
+        "pack_id", "kp_id", "root_kp", (F.col("steps") + F.col("up_steps")).cast("int").alias("depth"), *[F.concat(F.array("root_kp"), F.reverse(F.concat("path", "up"))).alias("path")] * paths
     )
     out = p.select("pack_id", "kp_id").join(whole, ["pack_id", "kp_id"], "left")
-    return out.select("pack_id", "kp_id", F.coalesce("root_kp", F.lit("")).alias("root_kp"), F.coalesce(F.size("path") - 1, F.lit(-1)).cast("int").alias("depth"), "path")
+    return out.select("pack_id", "kp_id", F.coalesce("root_kp", F.lit("")).alias("root_kp"), F.coalesce("depth", F.lit(-1)).alias("depth"), *["path"] * paths)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -115,4 +121,4 @@ def cycles(parents: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def found(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return hierarchy(parent_pointers(nodes, edges)).select("pack_id", "kp_id", "root_kp", "depth")
+    return hierarchy(parent_pointers(nodes, edges), paths=False).select("pack_id", "kp_id", "root_kp", "depth")

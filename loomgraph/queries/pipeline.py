@@ -95,6 +95,22 @@ def p7_descendants(spark, d):
     return hierarchy.descendants(_tree(spark, d)[1])
 
 
-@R.add("p7_cycles")
+@R.add(
+    "p7_parents",
+    f"""WITH n AS (SELECT DISTINCT pack_id, kp_id FROM knowledge_nodes WHERE pack_id IS NOT NULL AND kp_id IS NOT NULL)
+    SELECT x.pack_id, to_kp AS kp_id, count(DISTINCT from_kp) AS n_parents FROM knowledge_edges x
+    JOIN n a ON a.pack_id = x.pack_id AND a.kp_id = x.from_kp JOIN n b ON b.pack_id = x.pack_id AND b.kp_id = x.to_kp
+    WHERE {FOLD.format("edge_type")} = 'prerequisite' AND from_kp <> to_kp GROUP BY 1, 2 HAVING count(DISTINCT from_kp) > 1""",
+)
+def p7_parents(spark, d):
+    return hierarchy.several_parents(table(spark, d, "knowledge_nodes"), table(spark, d, "knowledge_edges"))
+
+
+@R.add(
+    "p7_cycles",
+    f"""{TREE_SQL}, lost AS (SELECT e.* FROM e ANTI JOIN t ON e.pack_id = t.pack_id AND e.kp_id = t.kp_id),
+    w AS (SELECT pack_id, kp_id, parent AS spot FROM lost UNION SELECT w.pack_id, w.kp_id, lost.parent FROM w JOIN lost ON lost.pack_id = w.pack_id AND lost.kp_id = w.spot)
+    SELECT w.pack_id, w.kp_id, min(w.spot) AS cycle FROM w JOIN (SELECT pack_id, kp_id FROM w WHERE kp_id = spot) o ON o.pack_id = w.pack_id AND o.kp_id = w.kp_id GROUP BY 1, 2""",
+)
 def p7_cycles(spark, d):
     return hierarchy.cycles(*_tree(spark, d))
