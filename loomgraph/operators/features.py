@@ -31,8 +31,7 @@ def entity_features(attempts: DataFrame, types: DataFrame, block_size: int = 64,
     single count out of them.
 
     Each attempt_id counts once (its latest created_at). The cells are summed before the shuffle, so a student with a
-    third of all rows costs one row per type and task. They are written once, partitioned by block and bucketed by
-    student; every block is aggregated and joined on those buckets without another shuffle.
+    third of all rows costs one row per type and task. They are written once, bucketed by student; every block is aggregated and joined on those buckets without another shuffle.
 
     Results in special cases: rows without a student are left out; students with only unknown or null types stay, with
     empty blocks; a null `correct` counts as an attempt that isn't correct; a null occurred_at leaves last_at untouched;
@@ -54,10 +53,13 @@ def entity_features(attempts: DataFrame, types: DataFrame, block_size: int = 64,
         cells.join(bounded_broadcast(blocks, max_types), "type_id", "left")
         .withColumn("block", F.coalesce("block", F.lit(-1)))
         .repartition(width, "student_id")
-        .write.partitionBy("block").bucketBy(width, "student_id").sortBy("student_id")
+        .write.bucketBy(width, "student_id").sortBy("student_id", "block")
         .option("path", stash_path(spark, "cells")).format("parquet").saveAsTable(name)
     )
+    # a plan that was made keeps the files and their buckets; the name in the catalog isn't needed any more
     cells = spark.table(name)
+    cells.columns
+    spark.sql(f"DROP TABLE {name}")
     wide = cells.groupBy("student_id").agg(F.sum("n_attempts").alias("n_attempts"), F.sum("n_correct").alias("n_correct"), F.max("last_at").alias("last_at"))
     for b in range(n_blocks):
         part = (
