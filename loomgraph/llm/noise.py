@@ -333,7 +333,7 @@ def learn(pages: DataFrame) -> tuple[DataFrame, dict[str, set[str]], skipgram.Ve
     own = (F.length("key") > 3) & ~F.col("key").rlike("^[0-9]*$")
     rows = links
     for kind, df in (
-        ("cut", cut), ("plain", plain), ("title", edge.where(own & (F.col("n") >= 5) & (F.col("m") == 0))), ("inner", edge.where(own & (F.col("n") <= 2 * F.col("m")))),
+        ("cut", cut), ("plain", plain), ("title", edge.where(own & (F.col("n") >= 5) & (F.col("m") == 0))), ("inner", edge.where(own & (F.col("n") >= 2) & (F.col("n") <= 2 * F.col("m")))),
         ("three", of("three").where((F.col("n") >= 2) & F.col("key").rlike(f"[{glyphs}]"))),
     ):
         n = F.col("n").cast("double") if kind == "three" else F.lit(0.0)
@@ -588,10 +588,13 @@ def _shaped(pages: DataFrame) -> DataFrame:
 def wanted(texts: list[str], twins: dict[str, set[str]]) -> set[tuple[str, str]]:
     """The keys of what was learnt that these pages may ask for."""
     out: set[tuple[str, str]] = set()
-    lines = [x.lstrip(INDENT) for t in texts for x in t.split("\n") if x]
-    for x, after in zip(lines, [*lines[1:], ""], strict=True):
+    pages = [[x.lstrip(INDENT) for x in t.split("\n") if x] for t in texts]
+    lines = [x for p in pages for x in p]
+    for x in lines:
         out.update(("link", p.group().lower()) for p in PART.finditer(x))
         out.update(("plain", b.group(1)[-8:]) for m in CELL.finditer(x) if (b := BEFORE.search(x, 0, m.start())))
+    # furniture is looked for in the first and last lines
+    for x in (x for p in pages for x in (*p[:3], *p[-3:])):
         parts = [x, *GAP.split(x), *(y for m in re.finditer(" ", x if len(x) < 60 else "") for y in (x[: m.start()], x[m.end() :]))]
         out.update((kind, skeleton(y)) for y in parts for kind in ("title", "inner"))
     # the next line of the text may stand beyond furniture
