@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from loomgraph.queries import pipeline
+    from loomgraph.queries import learning, pipeline
 
-    return [pipeline.R]
+    return [pipeline.R, learning.R]
