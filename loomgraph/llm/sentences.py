@@ -34,10 +34,24 @@ OPENERS = "([{（【《〈「『\"'“”„«‹‘’¿¡—–- \t\r\n  
 #: A letter of a word; the vowel signs of Devanagari, Arabic and Thai belong to it.
 L = r"(?:[^\W\d_]|[\u0900-\u0963\u0971-\u097f\u064b-\u065f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e])"
 WORD = re.compile(f"{L}+")
-#: Letters, with periods inside; the period after it, and what comes next.
-TOKEN = re.compile(rf"{L}+(?:\.{L}+)*")
-PERIOD = re.compile(rf"(?<![\w.])({L}+(?:\.{L}+)*|\d+)\.(?=\s+([\"“„«‘(¿¡]*)({L}+\.?|[^\s»”)]))")
-TAIL = re.compile(rf"(?:{L}|[\w.])*$")
+
+
+def _token(letter: str) -> re.Pattern:
+    """Letters, with periods inside."""
+    return re.compile(rf"{letter}+(?:\.{letter}+)*")
+
+
+def _period(letter: str) -> re.Pattern:
+    """The word or number before a period, and what comes next."""
+    return re.compile(rf"(?<![\w.])({letter}+(?:\.{letter}+)*|\d+)\.(?=\s+([\"“„«‘(¿¡]*)({letter}+\.?|[^\s»”)]))")
+
+
+#: Groups with such vowel signs; the plain letters of the others are found faster.
+MARKED = ("hi", "ar", "th")
+PLAIN_L = r"[^\W\d_]"
+TOKEN, PERIOD = {True: _token(L), False: _token(PLAIN_L)}, {True: _period(L), False: _period(PLAIN_L)}
+#: What the end of a word may hold, and how far back a word is looked at; no abbreviation is longer.
+TAIL, LONGEST = re.compile(rf"{L}|[\w.]"), 128
 NEXT = re.compile(r"\s*")
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎”\"')])[^\S\r\n]*(?:\r?\n)?[^\S\r\n]+(?=[ก-๎“\"])|(?<=[ก-ฺเ-๎])\r?\n(?=[ก-๎“\"])")
 #: Blocks of letters that decide how a text is read, in order of the test, with a weight: Japanese has more ideographs
@@ -101,9 +115,10 @@ def observe(text: str, group: str, counts: dict[str, Counter]) -> None:
     width = UNSPACED.get(group)
     # words of the group's own script; where no space parts them, only Latin words are counted, before periods too
     own = group not in UNSPACED
-    counts["word"].update((TOKEN if own else ASCII_TOKEN).findall(text))
+    marked = group in MARKED
+    counts["word"].update((TOKEN[marked] if own else ASCII_TOKEN).findall(text))
     period, goes, pair = counts["period"], counts["goes on"], counts["pair"]
-    for w, quote, nxt in PERIOD.findall(text):
+    for w, quote, nxt in PERIOD[marked].findall(text):
         if w[0].isdigit():
             if nxt[0].isupper() and not quote:
                 counts["number"][nxt.rstrip(".")] += 1
@@ -298,7 +313,7 @@ def ends(text: str, m: re.Match, e: int, group: str, model: Model) -> bool:
     if group == "th" or first.islower():
         return False
     j = m.start()
-    while j > 0 and not text[j - 1].isspace():
+    while j > 0 and m.start() - j < LONGEST and not text[j - 1].isspace():
         j -= 1
     word = text[j : m.start()].lstrip(OPENERS)
     if not space:
@@ -319,7 +334,10 @@ def ends(text: str, m: re.Match, e: int, group: str, model: Model) -> bool:
     if unspaced:
         word = re.split(r"[^A-Za-zÀ-ɏ.]", word)[-1] or word
     low = word.lower()
-    tail = TAIL.search(low).group().lstrip(".")
+    k = len(low)
+    while k and TAIL.match(low, k - 1):
+        k -= 1
+    tail = low[k:].lstrip(".")
     if len(tail) == 1 and tail.isalpha():
         return False
     if group in UNCASED and sum(x.isalpha() for x in tail) == 1:
