@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from loomgraph.queries import learning, pipeline
+    from loomgraph.queries import learning, pipeline, profiled
 
-    return [pipeline.R, learning.R]
+    return [pipeline.R, learning.R, profiled.R]
