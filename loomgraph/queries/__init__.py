@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from loomgraph.queries import learning, pipeline, profiled
+    from loomgraph.queries import graphed, learning, pipeline, profiled
 
-    return [pipeline.R, learning.R, profiled.R]
+    return [pipeline.R, learning.R, profiled.R, graphed.R]
