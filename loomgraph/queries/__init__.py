@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from loomgraph.queries import graphed, learning, pipeline, profiled, texted
+    from loomgraph.queries import flowing, graphed, learning, pipeline, profiled, texted
 
-    return [pipeline.R, learning.R, profiled.R, graphed.R, texted.R]
+    return [pipeline.R, learning.R, profiled.R, graphed.R, texted.R, flowing.R]
