@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -206,12 +208,8 @@ def decayed(age_days: Column, half_life: float) -> Column:
 
 def splitmix(seed: Column) -> Column:
     """A uniform number in [0, 1) of a seed, the same on every run: the public splitmix64 mixing of 64-bit numbers."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        import numpy as np
-
         with np.errstate(over="ignore"):
             z = s.fillna(0).to_numpy().astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
             z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -72,6 +72,29 @@ def entity_features(attempts: DataFrame, types: DataFrame, block_size: int = 64,
     return wide.select("student_id", "n_attempts", "n_correct", "last_at", *[F.coalesce(F.col(f"f{b:03d}"), empty).alias(f"f{b:03d}") for b in range(n_blocks)])
 
 
+def dense_features(wide: DataFrame, types: DataFrame, block_size: int = 64, max_types: int = 100_000) -> DataFrame:
+    """The entity table with fixed places: for block NNN the arrays nNNN (attempts), cNNN (correct ones), both 0 where there
+    is none, and tNNN (last time, null where there is none), in the order of the block's type_id. The reference list, which
+    doesn't grow with the events, is read by the driver; one of more than max_types types is refused."""
+    rows = typed_blocks(types, block_size).orderBy("type_id").limit(max_types + 1).collect()
+    if len(rows) > max_types:
+        raise ValueError("too many event types")
+    out = ["student_id", "n_attempts", "n_correct", "last_at"]
+
+    blocks = block_columns(wide)
+    # one map a block, read by three columns, so that it is made once a row
+    cells = wide.select(*out, *[F.map_from_entries(F.transform(c, lambda x: F.struct(x["type_id"], x))).alias(c) for c in blocks])
+
+    def placed(block: str, field: str, empty: Column) -> Column:
+        ids = F.array(*[F.lit(r["type_id"]) for r in rows if r["block"] == int(block[1:])]).cast("array<string>")
+        return F.transform(ids, lambda i: F.coalesce(F.try_element_at(F.col(block), i)[field], empty))
+
+    for c in blocks:
+        for letter, field, empty in (("n", "n_attempts", F.lit(0).cast("bigint")), ("c", "n_correct", F.lit(0).cast("bigint")), ("t", "last_at", F.lit(None).cast("timestamp"))):
+            out.append(placed(c, field, empty).alias(letter + c[1:]))
+    return cells.select(*out)
+
+
 def block_columns(wide: DataFrame) -> list[str]:
     return [c for c in wide.columns if len(c) >= 4 and c[0] == "f" and c[1:].isdigit()]
 

@@ -33,6 +33,24 @@ def p2_features(spark, d):
     return features.entity_features(table(spark, d, "attempts"), table(spark, d, "course_kps"))
 
 
+@R.add(
+    "p2_dense",
+    f"""WITH {LATEST}, kps AS (SELECT {FOLD.format("kp_id")} AS k, min(kp_id) AS kp_id FROM course_kps WHERE kp_id IS NOT NULL GROUP BY 1),
+    st AS (SELECT student_id, count(*) AS n_attempts FROM latest WHERE student_id IS NOT NULL GROUP BY 1),
+    c AS (SELECT l.student_id, kps.kp_id, count(*) AS n, count(*) FILTER (l.correct) AS c FROM latest l JOIN kps ON {FOLD.format("l.kp_id")} = kps.k WHERE l.student_id IS NOT NULL GROUP BY 1, 2)
+    SELECT st.student_id, any_value(n_attempts) AS n_attempts, string_agg(coalesce(c.n, 0)::VARCHAR, ',' ORDER BY t.kp_id) AS counts, string_agg(coalesce(c.c, 0)::VARCHAR, ',' ORDER BY t.kp_id) AS right_ones
+    FROM st CROSS JOIN (SELECT DISTINCT kp_id FROM course_kps WHERE kp_id IS NOT NULL) t LEFT JOIN c ON c.student_id = st.student_id AND c.kp_id = t.kp_id GROUP BY 1""",
+)
+def p2_dense(spark, d):
+    from pyspark.sql import functions as F
+
+    kps = table(spark, d, "course_kps")
+    wide = features.entity_features(table(spark, d, "attempts"), kps)
+    dense = features.dense_features(wide, kps)
+    cut = lambda letter: F.array_join(F.concat(*[F.col(letter + b[1:]) for b in features.block_columns(wide)]).cast("array<string>"), ",")
+    return dense.select("student_id", "n_attempts", cut("n").alias("counts"), cut("c").alias("right_ones"))
+
+
 SESSIONS_SQL = f"""WITH {LATEST},
     t AS (SELECT student_id, epoch_us(occurred_at) AS t FROM latest WHERE student_id IS NOT NULL AND occurred_at IS NOT NULL),
     g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY student_id ORDER BY t) <= {sessions.GAP_US} THEN 0 ELSE 1 END AS new FROM t),

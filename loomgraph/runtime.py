@@ -51,8 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: The folders that this session has written and not released.
+_written: list[str] = []
+
+
 def stash_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what was written to the shared folder so far and gives the number of folders. A result that still reads
+    them must have been written before."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    n = 0
+    while _written:
+        path = fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -65,8 +81,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most max_rows rows, else df as it is, so that the join shuffles."""
-    n = len(df.select(F.lit(1)).limit(max_rows + 1).take(max_rows + 1)) if max_rows <= 1000 else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
