@@ -2,6 +2,6 @@
 
 
 def all_registries():
-    from loomgraph.queries import flowing, graphed, learning, pipeline, profiled, reported, texted
+    from loomgraph.queries import assorted, flowing, graphed, learning, pipeline, profiled, reported, texted
 
-    return [pipeline.R, learning.R, profiled.R, graphed.R, texted.R, flowing.R, reported.R]
+    return [pipeline.R, learning.R, profiled.R, graphed.R, texted.R, flowing.R, reported.R, assorted.R]
