@@ -42,6 +42,8 @@ IS_HAN = re.compile(f"[{HAN}]")
 #: A word or a part of one, with marks that stand for letters inside it.
 PART = re.compile(r"(?<![\w!|])(?:[!|](?=[a-z]))?[0-9A-Za-zÀ-ɏ]+(?:[!|]+[A-Za-zÀ-ɏ]+)*")
 NUMBER = re.compile(r"(?<![A-Za-z0-9_/.,!|=?-])(?=[A-Za-z.,!|]*[0-9])(?=[0-9.,]*[OoIlZSB|!])[0-9OoIlZSB][0-9OoIlZSB|!]*(?:[.,][0-9OoIlZSB|]+)*(?![A-Za-z_/=])")
+#: A letter or mark beside digits, without which no number is misread.
+DIGIT_LIKE = re.compile(r"[0-9.,][OoIlZSB|!]|[OoIlZSB|!][0-9.,]")
 PLAIN = re.compile(r"(?<![\w.,/-])[0-9]+(?:[.,][0-9]+)*(?![\w/])")
 CELL = re.compile(r"[A-Z][0-9]")
 MARKS = "-¬"
@@ -88,16 +90,24 @@ def shaped(text: str) -> str:
     return "\n".join(INDENT * raw.startswith(INDENT) + x for raw, x in zip(text.split("\n"), lines_of(text), strict=True))
 
 
-def stream(lines: list[str]) -> tuple[str, list[tuple[int, int]]]:
-    """The characters of the lines without spaces, a run of digits as one 0, and where each comes from."""
-    out, at = [], []
-    for n, line in enumerate(lines):
-        for i, c in enumerate(line):
-            if c.isspace() or (c.isdigit() and out and out[-1] == "0"):
-                continue
-            out.append("0" if c.isdigit() else c)
-            at.append((n, i))
-    return "".join(out), at
+@functools.lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is white space, and a digit."""
+    every = [chr(o) for o in range(0x110000)]
+    return np.array([c.isspace() for c in every]), np.array([c.isdigit() for c in every])
+
+
+def stream(lines: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The characters of the lines without spaces, a run of digits as one 0; where each stands in the lines joined by line
+    ends; and where each line starts there."""
+    space, digit = _classes()
+    code = np.frombuffer("\n".join(lines).encode("utf-32-le"), np.uint32)
+    at = np.flatnonzero(~space[code])
+    d = digit[code[at]]
+    keep = ~(d & np.concatenate([[False], d[:-1]])) if len(at) else np.empty(0, bool)
+    at = at[keep]
+    starts = np.cumsum([0, *(len(x) + 1 for x in lines)])[:-1]
+    return np.where(d[keep], ord("0"), code[at]).astype(np.uint32).tobytes().decode("utf-32-le"), at, starts
 
 
 def threes(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -343,6 +353,8 @@ def learn(pages: DataFrame) -> tuple[DataFrame, dict[str, set[str]], skipgram.Ve
 
 def page_number(part: str) -> tuple[int, bool] | None:
     """(number, whether its marks or words tell that it is a page number)."""
+    if len(part) > 24:
+        return None
     part = FOLDED.sub(lambda m: m.group() if ROMAN.fullmatch(m.group().lower()) else m.group().translate(DIGIT_OF), part)
     if re.fullmatch(r"[-—–·\[(|]\s*[0-9OoIlZSB]{1,4}\s*[-—–·\])|]", part):
         part = part[0] + part[1:-1].translate(DIGIT_OF) + part[-1]
@@ -409,9 +421,10 @@ def furniture(book: list[tuple[int, list[str]]], model: Known) -> set[tuple[int,
                 x = lines[i]
                 # a gap may have shrunk to one space
                 cuts = [GAP.split(x), *([x[: m.start()], x[m.end() :]] for m in re.finditer(" ", x if len(x) < 60 else ""))]
-                for parts in cuts:
+                for k, parts in enumerate(cuts):
                     sure = [bool(p := page_number(part)) and (p[1] or p[0] - no in steady) for part in parts]
-                    if all(s or running(p) or repeated(i, p, top) or (any(sure) and chapter(p) is not None) for s, p in zip(sure, parts, strict=True)):
+                    # beside a shrunken gap stands a number
+                    if (k == 0 or any(sure)) and all(s or running(p) or repeated(i, p, top) or (any(sure) and chapter(p) is not None) for s, p in zip(sure, parts, strict=True)):
                         out.add((n, i))
                         break
                 else:
@@ -479,28 +492,30 @@ def read(book: list[tuple[int, list[str]]], model: Known, among: set[int] | None
             if NUMBER.match(x, p.start()) is None and (c := model.corrected(w, around(a, p.start(), p.end()))):
                 line.kinds.add("misread")
                 line.repairs.append((p.start(), p.end(), like(w, c[0])))
-        for p in NUMBER.finditer(x):
+        for p in NUMBER.finditer(x) if DIGIT_LIKE.search(x) else ():
             w = p.group().rstrip("!")
             if any(c in DIGITS for c in w) and model.wrong_number(x[: p.start()], w):
                 line.kinds.add("misread")
                 line.repairs.append((p.start(), p.start() + len(w), w.translate(DIGIT_OF)))
-    s, at = stream([x.text for x in own])
     three = model.three
+    if not three:
+        return all_lines
+    s, at, starts = stream([x.text for x in own])
     for site in re.finditer(f"[{''.join(model.twins)}]", s) if model.twins else ():
         i, c = site.start(), site.group()
-        best, instead = 4.0, ""
+        ks = [k for k in (i - 2, i - 1, i) if 0 <= k and k + 3 <= len(s)]
+        best, instead, mine = 4.0, "", None
         for t in sorted(model.twins[c]):
-            gain, support = 0.0, 0
-            for k in (i - 2, i - 1, i):
-                if 0 <= k and k + 3 <= len(s):
-                    g = s[k : k + 3]
-                    n, other = max(0, three.get(g, 0) - 1), three.get(g[: i - k] + t + g[i - k + 1 :], 0)
-                    gain += math.log((other + 0.5) / (n + 0.5))
-                    support = max(support, other)
-            if support >= 3 and gain > best:
+            others = [three.get(s[k:i] + t + s[i + 1 : k + 3], 0) for k in ks]
+            if max(others, default=0) < 3:
+                continue
+            mine = mine or [max(0, three.get(s[k : k + 3], 0) - 1) for k in ks]
+            gain = sum(math.log((o + 0.5) / (n + 0.5)) for o, n in zip(others, mine, strict=True))
+            if gain > best:
                 best, instead = gain, t
         if instead:
-            n, j = at[i]
+            n = int(np.searchsorted(starts, at[i], "right")) - 1
+            j = int(at[i] - starts[n])
             own[n].kinds.add("misread")
             own[n].repairs.append((j, j + 1, instead))
     return all_lines
@@ -603,7 +618,7 @@ def wanted(texts: list[str], twins: dict[str, set[str]]) -> set[tuple[str, str]]
             for after in lines[i + 1 : i + 8]:
                 if r := PART.match(after):
                     out.update((("cut", f"{m.group(1).lower()}\t{r.group().lower()}"), ("link", (m.group(1) + r.group()).lower())))
-    s, _ = stream(lines)
+    s = stream(lines)[0]
     for i, c in enumerate(s):
         for t in {c, *twins[c]} if c in twins else ():
             out.update(("three", s[k:i] + t + s[i + 1 : k + 3]) for k in (i - 2, i - 1, i) if k >= 0)
