@@ -214,17 +214,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(pack_id, from_kp, to_kp, weight): the edges without those that close cycles: as long as there is a cycle, the
     weakest edge of each pack (by weight, then by its ends) among those on or below cycles is dropped."""
-    e = valid_edges(nodes, edges).groupBy("pack_id", "from_kp", "to_kp").agg(F.max("weight").alias("weight"))
-    e = stash(e, "edges")
+    e = stash(valid_edges(nodes, edges).groupBy("pack_id", "from_kp", "to_kp").agg(F.max("weight").alias("weight")), "edges")
+    key = ["pack_id", "from_kp", "to_kp"]
+    turned = lambda x: x.select("pack_id", F.col("to_kp").alias("from_kp"), F.col("from_kp").alias("to_kp"))
+    on, kept = e.select(*key), e
     while True:
-        loop = endless(e)
-        # what lies below a cycle only is no part of one: peel from the other side too
-        back = endless(loop.select("pack_id", F.col("to_kp").alias("from_kp"), F.col("from_kp").alias("to_kp")))
-        on = back.select("pack_id", F.col("to_kp").alias("from_kp"), F.col("from_kp").alias("to_kp"))
-        weak = e.join(on, ["pack_id", "from_kp", "to_kp"], "left_semi").groupBy("pack_id").agg(F.min(F.struct("weight", "from_kp", "to_kp")).alias("x")).select("pack_id", "x.from_kp", "x.to_kp")
+        # what lies below a cycle only is no part of one: peel from the other side too; what was peeled stays away
+        on = turned(endless(turned(endless(on))))
+        weak = e.join(on, key, "left_semi").groupBy("pack_id").agg(F.min(F.struct("weight", "from_kp", "to_kp")).alias("x")).select("pack_id", "x.from_kp", "x.to_kp")
+        weak = stash(weak, "weak")
         if not weak.limit(1).count():
-            return e
-        e = stash(e.join(weak, ["pack_id", "from_kp", "to_kp"], "left_anti").select("pack_id", "from_kp", "to_kp", "weight"), "edges")
+            return kept
+        kept, on = kept.join(weak, key, "left_anti").select(*key, "weight"), stash(on.join(weak, key, "left_anti"), "on")
 
 
 def share_of_most(value: Column, by: str) -> Column:
