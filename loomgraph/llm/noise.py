@@ -343,7 +343,7 @@ def learn(pages: DataFrame) -> tuple[DataFrame, dict[str, set[str]], skipgram.Ve
     own = (F.length("key") > 3) & ~F.col("key").rlike("^[0-9]*$")
     rows = links
     for kind, df in (
-        ("cut", cut), ("plain", plain), ("title", edge.where(own & (F.col("n") >= 5) & (F.col("m") == 0))), ("inner", edge.where(own & (F.col("n") >= 2) & (F.col("n") <= 2 * F.col("m")))),
+        ("cut", cut), ("plain", plain), ("title", edge.where(own & (F.col("n") >= 5) & (F.col("m") == 0))), ("inner", edge.where(own & (F.col("n") + F.col("m") >= 2) & (F.col("n") <= 2 * F.col("m")))),
         ("three", of("three").where((F.col("n") >= 2) & F.col("key").rlike(f"[{glyphs}]"))),
     ):
         n = F.col("n").cast("double") if kind == "three" else F.lit(0.0)
