@@ -86,8 +86,13 @@ def lines_of(text: str) -> list[str]:
 
 
 def shaped(text: str) -> str:
-    """The lines of lines_of in one text; a line that was indented by an ideographic space keeps it."""
-    return "\n".join(INDENT * raw.startswith(INDENT) + x for raw, x in zip(text.split("\n"), lines_of(text), strict=True))
+    """The lines of lines_of in one text; a line that was indented by an ideographic space keeps it, unless it is blank."""
+    return "\n".join(INDENT * (x != "" and raw.startswith(INDENT)) + x for raw, x in zip(text.split("\n"), lines_of(text), strict=True))
+
+
+def shown_of(text: str) -> list[str]:
+    """The lines of a page in its canonical form without their indents; blank ones, also such of indents only, are left out."""
+    return [x for y in text.split("\n") if (x := y.lstrip(INDENT))]
 
 
 @functools.lru_cache(maxsize=1)
@@ -125,7 +130,7 @@ def threes(texts: list[str]) -> tuple[list[str], np.ndarray]:
 def observe(text: str, counts: dict[str, Counter]) -> None:
     """Adds a page in its canonical form to the counts: words, hyphenated pairs, words cut at line ends, what precedes
     numbers and names of cells, and short lines at the edges and inside of pages."""
-    shown = [x.lstrip(INDENT) for x in text.split("\n") if x]
+    shown = shown_of(text)
     for i, x in enumerate(shown):
         if len(x) <= 60:
             counts["edge" if i < 2 or i >= len(shown) - 2 else "inside"][skeleton(x)] += 1
@@ -302,7 +307,7 @@ def _over_pages(pages: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for path, no, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                shown = [x.lstrip(INDENT) for x in text.split("\n") if x]
+                shown = shown_of(text)
                 rows += [(path, no, m.group(1).lower(), None) for x in shown[-4:] if x[-1] in MARKS and (m := LEFT.search(x))]
                 firsts = {r.group().lower() for r in map(PART.match, shown[:4]) if r}
                 rows += [(path, no - k, None, w) for w in sorted(firsts) for k in range(1, BESIDE + 1)]
@@ -603,7 +608,7 @@ def _shaped(pages: DataFrame) -> DataFrame:
 def wanted(texts: list[str], twins: dict[str, set[str]]) -> set[tuple[str, str]]:
     """The keys of what was learnt that these pages may ask for."""
     out: set[tuple[str, str]] = set()
-    pages = [[x.lstrip(INDENT) for x in t.split("\n") if x] for t in texts]
+    pages = [shown_of(t) for t in texts]
     lines = [x for p in pages for x in p]
     for x in lines:
         out.update(("link", p.group().lower()) for p in PART.finditer(x))

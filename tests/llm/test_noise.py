@@ -71,3 +71,20 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "doc_path string, page_no int, text string")
     assert noise.found(pages).count() == 0
     assert noise.book_paragraphs(pages, spark.createDataFrame([], "doc_path string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("sent", [noise.SENT, 0])
+def test_lines_of_ideographic_spaces_only_are_blank(spark, sent):
+    schema = "doc_path string, page_no int, text string"
+    odd = [("a", 12, "　\nMock Exam Primer\n　　\nthe end of the chap-\n　 \n- 15 -\n　"), END, ("a", 14, "　"), ("b", 1, "　")]
+    got = {(r.page_no, r.line_no, r.line_kind) for r in noise.found(spark.createDataFrame([*PAGES, *odd], schema), sent).collect()}
+    assert {x for x in got if x[0] == 12} == {(12, 2, "furniture"), (12, 4, "broken_word"), (12, 6, "furniture")} and not [x for x in got if x[0] == 14]
+    text = "\n".join(r.text for r in noise.book_paragraphs(spark.createDataFrame([*PAGES, *odd], schema), spark.createDataFrame([("c", "　\n\n===== PAGE 1 =====\n　\nx")], "doc_path string, text string"), sent).collect())
+    assert "the end of the chapter of the book is checked." in text
+
+
+def test_counts_and_wanted_keys_pass_over_indents_alone():
+    held = {k: noise.Counter() for k in noise.KINDS}
+    noise.observe("　\nthe mod-\n　　\nule", held)
+    assert held["break"] == {"mod\tule": 1} and noise.shaped("　\n　x") == "\n　x"
+    assert ("cut", "mod\tule") in noise.wanted(["　\nthe mod-\n　　\nule"], {})
