@@ -50,28 +50,42 @@ def sessions(attempts: DataFrame, gap: str = "30 minutes", late: str = "60 days"
 
 
 MOVING = "student_id string, kp_id string, acc double, sev double, streak bigint, n bigint"
+#: The state of a part: the values of all its keys, in columns.
+HELD = "student_id array<string>, kp_id array<string>, acc array<double>, sev array<double>, streak array<bigint>, n array<bigint>"
 
 
-def moving(attempts: DataFrame) -> DataFrame:
+def moving(attempts: DataFrame, parts: int = 4096) -> DataFrame:
     """(student_id, kp_id, acc, sev, streak, n) after each micro-batch, in update mode: nine parts before and one part new,
     a severity that falls by a tenth and rises by a twentieth, and the right answers at the end. Within a micro-batch
-    attempts count in the order of their times; a later batch goes on from the state, which is six numbers a key."""
+    attempts count in the order of their times; a later batch goes on from the state, which is six values a key.
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        acc, sev, streak, n = state.get if state.exists else (0.0, 0.0, 0, 0)
+    Most keys have a row or two, and each call of Python costs as much as a thousand of them, so the keys are hashed to
+    `parts` groups with one state each; a student with many attempts is spread by knowledge point. A checkpoint holds for
+    one number of parts."""
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = {}
+        if state.exists:
+            students, points, *values = state.get
+            held = dict(zip(zip(students, points, strict=True), zip(*values, strict=True), strict=True))
         rows = pd.concat(list(frames)).sort_values(["occurred_at", "attempt_id"])
-        for right in rows["correct"].astype(bool):
+        new = {}
+        for *key, right in zip(rows["student_id"].tolist(), rows["kp_id"].tolist(), rows["correct"].astype(bool).tolist(), strict=True):
+            k = tuple(key)
+            acc, sev, streak, n = new.get(k) or held.get(k) or (0.0, 0.0, 0, 0)
             if n:
                 acc = (9 * acc + right) / 10
                 sev = min(1.0, sev * (0.9 if right else 1.05))
             else:
                 acc, sev = (0.8, 0.2) if right else (0.4, 0.5)
-            streak, n = (streak + 1 if right else 0), n + 1
-        state.update((float(acc), float(sev), int(streak), int(n)))
-        yield pd.DataFrame({"student_id": [key[0]], "kp_id": [key[1]], "acc": [acc], "sev": [sev], "streak": [streak], "n": [n]})
+            new[k] = acc, sev, (streak + 1 if right else 0), n + 1
+        columns = lambda of: [list(c) for c in zip(*(k + v for k, v in of.items()), strict=True)]
+        state.update(tuple(columns(held | new)))
+        yield pd.DataFrame(dict(zip(("student_id", "kp_id", "acc", "sev", "streak", "n"), columns(new), strict=True)))
 
     a = attempts.where("kp_id is not null").select("student_id", "kp_id", "attempt_id", "occurred_at", "correct")
-    return a.groupBy("student_id", "kp_id").applyInPandasWithState(step, MOVING, "acc double, sev double, streak bigint, n bigint", "update", "NoTimeout")
+    a = a.withColumn("part", F.pmod(F.xxhash64("student_id", "kp_id"), F.lit(parts)))
+    return a.groupBy("part").applyInPandasWithState(step, MOVING, HELD, "update", "NoTimeout")
 
 
 def drain(stream: DataFrame, key: list[str], order: str | None = None, mode: str = "append") -> DataFrame:

@@ -88,3 +88,23 @@ def test_stream_over_several_batches_is_the_batch(spark, tmp_path):
     assert sum(r.n for r in days) == 44
     want = {(r.student_id, r.start_us, r.end_us) for r in batch_sessions.sessionize(spark.createDataFrame(rows, schema)).collect()}
     assert {(r.student_id, r.start_us, r.end_us) for r in stream.drain(stream.sessions(stream.read_stream(spark, path, 1)), ["student_id"], mode="complete").collect()} == want
+
+
+def test_moving_values_of_many_keys_take_few_states(spark, tmp_path):
+    at = pd.Timestamp("2025-01-06 12:00", tz="UTC")
+    rows = [(f"a{i:04d}", f"s{i % 7}", f"K{i % 31}", i % 3 == 0, (at + pd.Timedelta(minutes=i)).to_pydatetime()) for i in range(600)]
+    schema, path = "attempt_id string, student_id string, kp_id string, correct boolean, occurred_at timestamp", f"file://{tmp_path}/in"
+    for k in range(2):
+        spark.createDataFrame(rows[300 * k : 300 * k + 300], schema).coalesce(1).write.mode("append").parquet(path)
+    want = {}
+    for _, s, k, right, _ in rows:
+        acc, sev, streak, n = want.get((s, k), (0.0, 0.0, 0, 0))
+        acc, sev = ((9 * acc + right) / 10, min(1.0, sev * (0.9 if right else 1.05))) if n else ((0.8, 0.2) if right else (0.4, 0.5))
+        want[s, k] = acc, sev, streak + 1 if right else 0, n + 1
+    q = stream.moving(stream.read_stream(spark, path, 1), 16).writeStream.format("memory").queryName("moved").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(want) == 217 and {p["batchId"] for p in q.recentProgress} >= {0, 1} and 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 16
+    got = {}
+    for r in spark.table("moved").orderBy("n").collect():
+        got[r.student_id, r.kp_id] = (r.acc, r.sev, r.streak, r.n)
+    assert got == want
