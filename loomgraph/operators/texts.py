@@ -102,23 +102,55 @@ def associations(docs: DataFrame, key: str, text: str, window: int = 8, least: i
     return j.select("a", "b", "n", f.pmi(F.col("n"), F.col("ca"), F.col("cb"), F.col("total")).alias("pmi"), f.npmi(F.col("n"), F.col("ca"), F.col("cb"), F.col("total")).alias("npmi"))
 
 
-def text_rank(docs: DataFrame, key: str, text: str, window: int = 5, rounds: int = 30, damping: float = 0.85, every: int = 5) -> DataFrame:
+def _text_ranks(text: np.ndarray, word: np.ndarray, own: np.ndarray, window: int, rounds: int, damping: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each different word of a key, its rank) of words in order: `text` tells the texts apart that a word
+    stands in, `own` the keys; both rise."""
+    _, first, at = np.unique(own * (word.max() + 1) + word, return_index=True, return_inverse=True)
+    n = len(first)
+    _, key = np.unique(own[first], return_inverse=True)
+    pairs = []
+    for k in range(1, window):
+        near = np.flatnonzero((text[:-k] == text[k:]) & (at[:-k] != at[k:]))
+        pairs.append((at[near], at[near + k], 1 / k))
+    degree = sum((w * (np.bincount(a, minlength=n) + np.bincount(b, minlength=n)) for a, b, w in pairs), np.zeros(n))
+    size = np.bincount(key)[key].astype(float)
+    rank = 1 / size
+    for _ in range(rounds):
+        share = np.divide(rank, degree, out=np.zeros(n), where=degree > 0)
+        got = sum((w * (np.bincount(b, share[a], n) + np.bincount(a, share[b], n)) for a, b, w in pairs), np.zeros(n))
+        rank = (1 - damping) / size + damping * got
+    return first, rank / np.bincount(key, rank)[key]
+
+
+def text_rank(docs: DataFrame, key: str, text: str, window: int = 5, rounds: int = 30, damping: float = 0.85, at_once: int = 200_000) -> DataFrame:
     """(key, token, rank): TextRank of each text's tokens, summing to 1: pairs of different tokens within the window, both
-    ways, with weight 1 / gap. Tokens without a pair share what the damping leaves."""
-    p = window_pairs(docs, key, text, window).where("a <> b").withColumn("w", f.lit(1) / F.col("gap"))
-    both = p.unionByName(p.select(key, F.col("b").alias("a"), F.col("a").alias("b"), "gap", "w"))
-    e = both.groupBy(key, "a", "b").agg(F.sum("w").alias("w"))
-    e = e.join(e.groupBy(key, "a").agg(F.sum("w").alias("deg")), [key, "a"]).select(key, "a", "b", (F.col("w") / F.col("deg")).alias("p"))
-    e = stash(e, "pairs")
-    n = docs.select(key, F.explode(F.array_distinct(t.tokens(F.col(text)))).alias("token")).distinct()
-    n = stash(n.join(n.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("size")), key), "tokens")
-    r = n.withColumn("rank", f.lit(1) / F.col("size"))
-    for i in range(rounds):
-        got = e.join(r.select(key, F.col("token").alias("a"), "rank"), [key, "a"]).groupBy(key, F.col("b").alias("token")).agg(F.sum(F.col("rank") * F.col("p")).alias("got"))
-        r = n.join(got, [key, "token"], "left").select(key, "token", "size", (f.lit(1 - damping) / F.col("size") + f.lit(damping) * F.coalesce("got", f.lit(0))).alias("rank"))
-        if (i + 1) % every == 0:
-            r = stash(r, "ranks")
-    return r.join(r.groupBy(key).agg(F.sum("rank").alias("all")), key).select(key, "token", (F.col("rank") / F.col("all")).alias("rank"))
+    ways, with weight 1 / gap. Tokens without a pair share what the damping leaves.
+
+    No pair leads from one key to another, so the texts of a key are brought together once and all rounds are made in the
+    task that has them, for texts of about `at_once` tokens together; pairs and ranks are never shuffled or written."""
+    x = docs.where(F.col(key).isNotNull()).select(key, t.tokens(F.col(text)).alias("x")).where(F.size("x") > 0)
+    kind = x.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).flatten()
+            if not len(texts):
+                continue
+            words = texts.flatten()
+            # where the texts of a key, and their words, begin
+            of_key, of_text = (np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in (b.column(1), texts))
+            begins = of_text[of_key]
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(begins, begins[i] + at_once, "right")) - 1)
+                some = words.slice(begins[i], begins[j] - begins[i]).dictionary_encode()
+                own = np.repeat(np.arange(i, j), np.diff(begins[i : j + 1]))
+                lengths = np.diff(of_text[of_key[i] : of_key[j] + 1])
+                first, rank = _text_ranks(np.repeat(np.arange(len(lengths)), lengths), some.indices.to_numpy().astype(np.int64), own, window, rounds, damping)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own[first])), some.dictionary.take(some.indices.take(pa.array(first))), pa.array(rank)], names=[key, "token", "rank"])
+                i = j
+
+    return x.groupBy(key).agg(F.collect_list("x").alias("x")).mapInArrow(run, f"`{key}` {kind}, token string, rank double")
 
 
 def character_difference(pairs: DataFrame, key: str, found: str, right: str) -> DataFrame:

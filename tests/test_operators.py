@@ -226,3 +226,33 @@ def test_visible_before_search(spark):
     yes = spark.createDataFrame([("o", "me", "granted")], "student_id string, teacher_id string, state string")
     ids = lambda df: {r.id for r in df.collect()}
     assert ids(texts.visible(docs, "me", "student", yes)) == {"3", "4"} and ids(texts.visible(docs, "me", "teacher", yes)) == {"2", "3", "4"} and len(ids(texts.visible(docs, "x", "admin"))) == 4
+
+
+def test_text_rank_is_made_within_keys_and_writes_nothing(spark):
+    from loomgraph import runtime
+
+    rnd = random.Random(5)
+    rows = [(f"d{i}", " ".join(rnd.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(rnd.randrange(1, 40)))) for i in range(25)]
+    rows += [("d0", "beta omega beta"), ("one", "alone"), ("same", "twin twin"), ("none", None), ("blank", "!"), (None, "alpha beta")]
+    want = {}
+    for key in {k for k, _ in rows if k}:
+        texts_of = [x.split() for k, x in rows if k == key and x and x != "!"]
+        w = {}
+        for x in texts_of:
+            for i, a in enumerate(x):
+                for gap, b in enumerate(x[i + 1 : i + 5], 1):
+                    if a != b:
+                        w[a, b], w[b, a] = w.get((a, b), 0) + 1 / gap, w.get((b, a), 0) + 1 / gap
+        names = {y for x in texts_of for y in x}
+        deg = {a: sum(n for (c, _), n in w.items() if c == a) for a in names}
+        r = dict.fromkeys(names, 1 / max(1, len(names)))
+        for _ in range(30):
+            r = {b: 0.15 / len(names) + 0.85 * sum(r[a] * n / deg[a] for (a, c), n in w.items() if c == b) for b in names}
+        want |= {(key, a): x / sum(r.values()) for a, x in r.items()}
+    docs = spark.createDataFrame(rows, "id string, body string").coalesce(1)
+    before = len(runtime._written)
+    for at_once in (200_000, 50):
+        got = {(r.id, r.token): r["rank"] for r in texts.text_rank(docs, "id", "body", at_once=at_once).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-12 for k, x in want.items())
+    assert len(runtime._written) == before
+    assert texts.text_rank(docs.limit(0), "id", "body").count() == 0
